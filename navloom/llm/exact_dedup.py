@@ -16,11 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from navloom.llm.bloom import MAX_BITS, bitmaps, filter_bits, with_maybe
 from navloom.llm.common import SPACE_RE, cut_lineage, fresh, text_or_empty
 
-#: Bits of one ``bitmap_construct_agg`` bitmap.
-BITMAP_BITS = 32768
-
 
 def normalised(text: str | Column) -> Column:
     return F.regexp_replace(text_or_empty(text), SPACE_RE, " ")
@@ -31,38 +29,7 @@ def text_digest(text: str | Column) -> Column:
     return F.unhex(F.sha2(normalised(text), 256))
 
 
-def filter_bits(rows: int, bits_per_row: int, max_bits: int) -> int:
-    bits = BITMAP_BITS
-    while bits < rows * bits_per_row and bits < max_bits:
-        bits *= 2
-    return bits
-
-
-def _cells(digest: Column, bits: int, hashes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(digest, F.lit(i)), F.lit(bits)) for i in range(hashes)]
-
-
-def repeated_cells(digests: DataFrame, digest: str, bits: int, hashes: int) -> DataFrame:
-    """Bitmaps (bucket, bitmap) of the cells that at least two rows hit: at most ``bits / 8`` bytes in all."""
-    cell = F.explode(F.array_distinct(F.array(*_cells(F.col(digest), bits, hashes)))).alias("cell")
-    hit = digests.select(cell).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    return hit.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bitmap"))
-
-
-def with_maybe(df: DataFrame, digest: str, bitmaps: DataFrame, bits: int, hashes: int, flag: str) -> DataFrame:
-    """Add ``flag``: every cell of the row is hit by another row too. The bitmaps are bounded, so they are broadcast."""
-    test, columns = F.lit(True), df.columns
-    for i, cell in enumerate(_cells(F.col(digest), bits, hashes)):
-        bucket, bitmap = fresh(df, f"bucket{i}", f"bitmap{i}")
-        side = F.broadcast(bitmaps.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap)))
-        df = df.join(side, F.bitmap_bucket_number(cell) == F.col(bucket), "left")
-        position = F.bitmap_bit_position(cell).cast("int")
-        byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        test &= F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) != 0, F.lit(False))
-    return df.select(*columns, test.alias(flag))
-
-
-def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 2, max_bits: int = 1 << 27) -> DataFrame:
+def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 2, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     ``max_bits`` bounds the broadcast (16 MB by default); beyond it the filter lets more rows through to
@@ -70,7 +37,7 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     narrow = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), text_digest(text_col).alias("digest"), F.monotonically_increasing_id().alias("row")))
     bits = filter_bits(narrow.count(), bits_per_row, max_bits)
-    flagged = with_maybe(narrow, "digest", repeated_cells(narrow, "digest", bits, hashes), bits, hashes, "maybe")
+    flagged = with_maybe(narrow, "digest", bitmaps(narrow, "digest", bits, hashes, at_least=2), bits, "maybe", hashes)
     sha = F.lower(F.hex("digest")).alias("text_sha256")
     alone = flagged.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
     rest = flagged.filter("maybe")
@@ -82,13 +49,13 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return alone.unionByName(together)
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 2, max_bits: int = 1 << 27) -> DataFrame:
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 2, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Only rows that may have a copy are shuffled."""
     digest, row, maybe, first = fresh(docs, "digest", "row", "maybe", "first")
     marked = docs.withColumn(digest, text_digest(text_col)).withColumn(row, F.monotonically_increasing_id())
     digests = cut_lineage(marked.select(F.col(digest).alias("digest")))
     bits = filter_bits(digests.count(), bits_per_row, max_bits)
-    flagged = with_maybe(marked, digest, repeated_cells(digests, "digest", bits, hashes), bits, hashes, maybe)
+    flagged = with_maybe(marked, digest, bitmaps(digests, "digest", bits, hashes, at_least=2), bits, maybe, hashes)
     rest = flagged.filter(F.col(maybe))
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     stays = rest.groupBy(digest).agg(F.min(key).alias(first)).select(digest, F.col(first)["row"].alias(row))

@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import bpe, exact_dedup, mixing, sharding, token_counts
+from navloom.llm import bpe, exact_dedup, mixing, ngram_join, sharding, token_counts
 from navloom.llm.common import table
 
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_classes(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).drop("source", "position")
 
@@ -37,7 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op6_bpe_round_trip, op7_virtual_slot_shards, op9_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op6_bpe_round_trip, op7_virtual_slot_shards, op9_exact_dedup, op10_token_counts)}
 
 
 OP2_SQL = r"""
