@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import bpe, exact_dedup, mixing, ngram_join, sharding, token_counts
+from navloom.llm import bpe, chat, embed_dedup, exact_dedup, mixing, ngram_join, sharding, token_counts
 from navloom.llm.common import table
 
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -23,6 +24,18 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).drop("source", "position")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Fixed value: the added conversation, whose texts look like markup.
+    tricky = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(added)
+    return chat.read_back(chat.format_conversations(rows, BYTE_BPE))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE, decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -41,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op6_bpe_round_trip, op7_virtual_slot_shards, op9_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op4_embedding_near_dedup, op5_chat_format, op6_bpe_round_trip, op7_virtual_slot_shards, op9_exact_dedup, op10_token_counts)}
 
 
 OP2_SQL = r"""
@@ -72,6 +85,23 @@ SELECT doc_id, size, source_size, target,
 FROM e
 """
 
+OP5_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, length(role) * 3 - length(replace(role, '\', '')) - length(replace(role, '<', '')) AS role_chars,
+         length(text) * 3 - length(replace(text, '\', '')) - length(replace(text, '<', '')) AS text_chars
+  FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       sum(length('<turn><say></turn>') + 1 + role_chars + text_chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 h AS (SELECT doc_id, sha256(t) AS text_sha256 FROM d)
@@ -83,4 +113,4 @@ FROM h
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL}
