@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import bpe, chat, embed_dedup, exact_dedup, mixing, ngram_join, sharding, token_counts
+from navloom.llm import bpe, chat, embed_dedup, exact_dedup, mixing, ngram_join, quality, sharding, token_counts
 from navloom.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).drop("source", "position")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -54,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op4_embedding_near_dedup, op5_chat_format, op6_bpe_round_trip, op7_virtual_slot_shards, op9_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op3_quality_rules, op4_embedding_near_dedup, op5_chat_format, op6_bpe_round_trip, op7_virtual_slot_shards, op9_exact_dedup, op10_token_counts)}
 
 
 OP2_SQL = r"""

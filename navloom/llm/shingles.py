@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     """Slices of about ``BYTES_AT_ONCE``, with where they begin; at least one text each."""
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES_AT_ONCE)))
@@ -39,44 +40,51 @@ def parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         at = to
 
 
-def _some_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice of texts: word hashes and word sizes in order, where each text's words begin (one more for the end),
+    all bytes, and where each text's bytes begin."""
     # A fresh array: its offsets then begin at the data's.
     filled = pa.array([b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()], pa.large_binary())
     _, offsets, data = filled.buffers()
     bounds = np.frombuffer(offsets, np.int64)[: len(filled) + 1]
-    empty = np.zeros(0, np.uint64)
-    if not bounds[-1]:
-        return [empty] * len(filled)
-    letters = np.frombuffer(data, np.uint8)[: bounds[-1]]
+    letters = np.frombuffer(data, np.uint8)[: bounds[-1]] if bounds[-1] else np.zeros(0, np.uint8)
     solid = ~_SPACE[letters]
+    where = np.flatnonzero(solid)
+    if not len(where):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(filled) + 1, np.int64), letters, bounds
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     begins = bounds[:-1][bounds[:-1] < bounds[-1]]
     first[begins] |= solid[begins]
-    where = np.flatnonzero(solid)
-    if not len(where):
-        return [empty] * len(filled)
     starts = np.flatnonzero(first[where])
     sizes = np.diff(np.append(starts, len(where)))
     powers = np.cumprod(np.full(int(sizes.max()), _STEP, np.uint64))
     place = np.arange(len(where)) - np.repeat(starts, sizes)
     hashes = mix(np.add.reduceat(_LETTER[letters[where]] * powers[place], starts) + sizes.astype(np.uint64))
     owner = np.searchsorted(bounds, where[starts], side="right") - 1
-    edges = np.searchsorted(owner, np.arange(len(filled) + 1))
-    rolled = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
+    return hashes, sizes, np.searchsorted(owner, np.arange(len(filled) + 1)), letters, bounds
+
+
+def rolled(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The hash of each run of ``words`` words."""
+    out = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
     for i in range(words):
-        rolled += hashes[i : len(hashes) - words + 1 + i] * _PLACES[i]
-    rolled = mix(rolled)
-    out = []
+        out += hashes[i : len(hashes) - words + 1 + i] * _PLACES[i]
+    return mix(out)
+
+
+def _some_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    hashes, _, edges, _, _ = words_of(texts)
+    runs, out = rolled(hashes, words), []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         if b - a >= words:
-            out.append(np.unique(rolled[a : b - words + 1]))
+            out.append(np.unique(runs[a : b - words + 1]))
         elif b > a:
             # The number of words goes in too, as one more word.
             whole = np.append(hashes[a:b], np.uint64(b - a)) * np.append(_PLACES[: b - a], _PLACES[-1])
             out.append(mix(np.add.reduce(whole, keepdims=True)))
         else:
-            out.append(empty)
+            out.append(np.zeros(0, np.uint64))
     return out
 
 
