@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import bpe, chat, embed_dedup, exact_dedup, mixing, ngram_join, quality, sharding, token_counts
+from navloom.llm import bpe, chat, embed_dedup, exact_dedup, mixing, ngram_join, pii, quality, sharding, token_counts
 from navloom.llm.common import table
 
 
@@ -49,6 +49,15 @@ def op7_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    count = lambda n: F.size(F.filter("base", lambda s: s["kind"] == n)).cast("long")
+    return found.select(
+        "doc_id", *(count(n).alias(f"n_{kind}") for n, kind in enumerate(pii.KINDS)),
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -58,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op3_quality_rules, op4_embedding_near_dedup, op5_chat_format, op6_bpe_round_trip, op7_virtual_slot_shards, op9_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op3_quality_rules, op4_embedding_near_dedup, op5_chat_format, op6_bpe_round_trip, op7_virtual_slot_shards, op8_personal_data, op9_exact_dedup, op10_token_counts)}
 
 
 OP2_SQL = r"""
