@@ -1 +1,5 @@
+"""Named queries by subject."""
 
+from navloom.plans import lookthrough
+
+CATALOGUES = [m.C for m in (lookthrough,)]
