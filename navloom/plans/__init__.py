@@ -1,5 +1,5 @@
 """Named queries by subject."""
 
-from navloom.plans import lookthrough
+from navloom.plans import funds, lookthrough
 
-CATALOGUES = [m.C for m in (lookthrough,)]
+CATALOGUES = [m.C for m in (lookthrough, funds)]

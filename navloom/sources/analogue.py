@@ -36,11 +36,11 @@ VIEWS = {
         GROUP BY c_nationkey, o_orderpriority, l_suppkey""",
     "nav": """
         SELECT l_suppkey AS scheme_id, last_day(CAST(l_shipdate AS DATE)) AS nav_date,
-               ROUND(CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE), 6) AS nav
+               FLOOR(CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) * 1e4 + 0.5) / 1e4 AS nav
         FROM {lineitem} GROUP BY l_suppkey, last_day(CAST(l_shipdate AS DATE))""",
     "level": """
         SELECT last_day(CAST(l_shipdate AS DATE)) AS level_date,
-               ROUND(CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE), 6) AS level
+               FLOOR(CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) * 1e4 + 0.5) / 1e4 AS level
         FROM {lineitem} GROUP BY last_day(CAST(l_shipdate AS DATE))""",
     "disclosure": """
         SELECT l_suppkey AS scheme_id, last_day(CAST(l_shipdate AS DATE)) AS as_of, CASE WHEN l_linestatus = 'O' THEN 'amc' ELSE 'aggregator' END AS tier,
