@@ -1,5 +1,5 @@
 """Named queries by subject."""
 
-from navloom.plans import funds, lookthrough
+from navloom.plans import funds, ledger, lookthrough
 
-CATALOGUES = [m.C for m in (lookthrough, funds)]
+CATALOGUES = [m.C for m in (lookthrough, funds, ledger)]
