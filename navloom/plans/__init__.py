@@ -1,5 +1,5 @@
 """Named queries by subject."""
 
-from navloom.plans import funds, ledger, lookthrough
+from navloom.plans import funds, ledger, lookthrough, text
 
-CATALOGUES = [m.C for m in (lookthrough, funds, ledger)]
+CATALOGUES = [m.C for m in (lookthrough, funds, ledger, text)]
