@@ -200,7 +200,7 @@ def fit_span_model(spark: SparkSession, precision: float = 0.995, trees: int = 2
         order = np.argsort(-probability[own])
         p, good = probability[own][order], np.cumsum(y[own][order])
         fine = np.flatnonzero(good >= precision * np.arange(1, len(p) + 1))
-        thresholds.append(max(0.5, float(p[fine[-1]])) if len(fine) else 2.0)
+        thresholds.append(max(0.5, float(p[fine[-1]]) - 1e-9) if len(fine) else 2.0)
     return SpanModel(base, tuple(forest), slope, offset, tuple(thresholds))
 
 

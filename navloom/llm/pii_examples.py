@@ -44,7 +44,7 @@ def _failing_card(r: random.Random, n: int, sep: str) -> str:
 
 
 def _positive(r: random.Random) -> tuple[str, str, str]:
-    """Lead-in, personal data, what follows."""
+    """Lead-in, personal data, what follows. A lead-in or end that begins with ``!`` is personal data too."""
     which = r.randrange(7)
     if which == 0:
         at, dot = r.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), ("[at]", ".")])
@@ -53,9 +53,9 @@ def _positive(r: random.Random) -> tuple[str, str, str]:
     if which == 1:
         return r.choice(["phone", "call", "tel", "mobile:", "fax"]), _phone(r), _words(r, 3)
     if which == 2:
-        return _words(r, 2), f"+{r.randint(1, 99)} ({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", r.choice([_card(r, 16, ""), _digits(r, 9), _words(r, 2)])
+        return _words(r, 2), f"+{r.randint(1, 99)} ({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", r.choice(["!" + _card(r, 16, ""), _digits(r, 9), _words(r, 2)])
     if which == 3:
-        return r.choice([f"+1 (555) {_digits(r, 3)}-{_digits(r, 4)}", f"{_words(r, 1)} {_digits(r, 5)}", "card", "credit card", _words(r, 2)]), _card(r, 16, r.choice(["", " ", "-"])), _words(r, 2)
+        return r.choice([f"!+1 (555) {_digits(r, 3)}-{_digits(r, 4)}", f"{_words(r, 1)} {_digits(r, 5)}", "card", "credit card", _words(r, 2)]), _card(r, 16, r.choice(["", " ", "-"])), _words(r, 2)
     if which == 4:
         return r.choice(["amex", "card", "pay with"]), _card(r, 15, r.choice(["", " "])), _words(r, 2)
     if which == 5:
@@ -86,7 +86,14 @@ def examples(count: int = 1600, seed: int = 11) -> list[tuple[str, set[tuple[int
     """(text, spans of personal data in it), half of them without any."""
     r, out = random.Random(seed), []
     for i in range(count):
-        lead, body, rest = (_positive if (i // 2) % 2 else _negative)(r)
-        head = f"{_words(r, r.randint(0, 4))} {lead} ".lstrip()
-        out.append((f"{head}{body} {rest}", {(len(head), len(head) + len(body))} if (i // 2) % 2 else set()))
+        personal = (i // 2) % 2 == 1
+        lead, body, rest = (_positive if personal else _negative)(r)
+        text, spans = _words(r, r.randint(0, 4)), set()
+        for part, marked in ((lead, lead.startswith("!")), (body, personal), (rest, rest.startswith("!"))):
+            text += " " if text else ""
+            part = part.removeprefix("!")
+            if marked:
+                spans.add((len(text), len(text) + len(part)))
+            text += part
+        out.append((text, spans))
     return out
