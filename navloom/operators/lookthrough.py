@@ -33,8 +33,11 @@ def contributions(positions: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def exposures(contributed: DataFrame) -> DataFrame:
-    """Per user and issuer: rupees, share of the portfolio, and how many funds bring it."""
-    summed = contributed.groupBy("user_id", "issuer_id", "instrument_class", "is_synthetic").agg(F.sum("contribution_inr").alias("exposure_inr"), F.countDistinct("scheme_id").alias("n_schemes"))
+    """Per user and issuer: rupees, share of the portfolio, and how many funds bring it.
+
+    Contributions have one row per user, scheme and issuer, so counting rows counts funds, and one partial aggregation is enough.
+    """
+    summed = contributed.groupBy("user_id", "issuer_id", "instrument_class", "is_synthetic").agg(F.sum("contribution_inr").alias("exposure_inr"), F.count(F.lit(1)).alias("n_schemes"))
     whole = F.sum("exposure_inr").over(Window.partitionBy("user_id"))
     return summed.withColumn("exposure_pct", F.when(whole > 0, F.col("exposure_inr") / whole * 100.0))
 
@@ -148,7 +151,7 @@ def overlap_pairs(weights: DataFrame, values: DataFrame | None = None) -> DataFr
 def duplication(contributed: DataFrame) -> DataFrame:
     """Per user: rupees that reach an issuer through more than one fund, beyond the fund that brings most."""
     real = contributed.filter(~F.col("is_synthetic"))
-    issuers = real.groupBy("user_id", "issuer_id").agg(F.sum("contribution_inr").alias("all"), F.max("contribution_inr").alias("most"), F.countDistinct("scheme_id").alias("funds"))
+    issuers = real.groupBy("user_id", "issuer_id").agg(F.sum("contribution_inr").alias("all"), F.max("contribution_inr").alias("most"), F.count(F.lit(1)).alias("funds"))
     total = contributed.groupBy("user_id").agg(F.sum("contribution_inr").alias("total_inr"))
     doubled = issuers.groupBy("user_id").agg(
         F.sum(F.when(F.col("funds") > 1, F.col("all") - F.col("most")).otherwise(0.0)).alias("duplicated_inr"), F.count_if(F.col("funds") > 1).alias("duplicated_issuers"), F.count(F.lit(1)).alias("n_issuers")
