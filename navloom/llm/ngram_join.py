@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ from navloom.llm.shingles import mix, overlap, shingle_sets
 MINHASHES = 8
 #: Shingles are counted in this many cells, whatever the corpus holds; the counts order the prefixes.
 COUNT_CELLS = 1 << 18
+#: Shingles of a set are counted by hash in so many cells of one byte; what two sets share is at most the sum of the lesser counts.
+PROFILE_CELLS = 128
 #: Shingles that one block of a cluster holds.
 BLOCK_SHINGLES = 1_000_000
 
@@ -52,22 +55,29 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _profile(s: np.ndarray) -> bytes | None:
+    """How many shingles fall in each cell; none where a count is too large for a byte."""
+    counts = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=PROFILE_CELLS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
 def sketches(rows: DataFrame, words: int) -> DataFrame:
-    """Per row: n (size of the set), two halves of a fingerprint of the set, and its minhashes."""
+    """Per row: n (size of the set), two halves of a fingerprint of the set, its minhashes and its profile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, one, two, least = [], [], [], []
+            size, one, two, least, profile = [], [], [], [], []
             for s in shingle_sets(batch.column(2), words):
                 size.append(len(s))
                 one.append(_signed(np.add.reduce(mix(s ^ _SEEDS[-1]), keepdims=True))[0] if len(s) else 0)
                 two.append(_signed(np.bitwise_xor.reduce(mix(s ^ _SEEDS[-2]), keepdims=True))[0] if len(s) else 0)
                 least.append(_signed(np.array([mix(s ^ seed).min() for seed in _SEEDS[:MINHASHES]], np.uint64)) if len(s) else None)
-            columns = [batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(least, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "print1", "print2", "least"])
+                profile.append(_profile(s))
+            columns = [batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(profile, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "print1", "print2", "least", "profile"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, n int, print1 long, print2 long, least array<long>")
+    return rows.mapInArrow(run, f"row long, doc_id {kind}, n int, print1 long, print2 long, least array<long>, profile binary")
 
 
 def shingle_counts(rows: DataFrame, words: int) -> np.ndarray:
@@ -156,6 +166,25 @@ def overlaps(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     return with_b.mapInArrow(run, "a long, b long, na int, nb int, common int")
 
 
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the sets' sizes and profiles don't rule out. No text is read for it."""
+    for k in "ab":
+        pairs = pairs.join(sets.select(F.col("row").alias(k), F.col("n").alias(f"n_{k}"), F.col("profile").alias(f"profile_{k}")), k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = pc.and_(pc.is_valid(batch.column(4)), pc.is_valid(batch.column(5))).to_numpy(zero_copy_only=False)
+            size = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            keep = ~known
+            for at in np.array_split(np.flatnonzero(known), max(1, known.sum() // 4096)):
+                x, y = (np.frombuffer(b"".join(batch.column(c).take(pa.array(at)).to_pylist()), np.uint8).reshape(-1, PROFILE_CELLS) for c in (4, 5))
+                most = np.minimum(x, y).sum(1, dtype=np.int64)
+                keep[at] = 100 * most >= percent * (size[at] - most)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
+
+    return pairs.select("a", "b", "n_a", "n_b", "profile_a", "profile_b").mapInArrow(run, "a long, b long")
+
+
 def _linked(percent: int, na: str = "na", nb: str = "nb", common: str = "common") -> str:
     return f"100L * {common} >= {percent}L * ({na} + {nb} - {common})"
 
@@ -249,11 +278,15 @@ def set_links(rows: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
     clusters = cut_lineage(clusters)
     links = tried.filter(near).select("a", "b").union(links_inside(clusters, rows, words, percent))
     tokens = cut_lineage(prefixes(rows, words, percent))
-    between = cut_lineage(overlaps(centre_pairs(tokens, clusters, percent), rows, words))
+    # Pairs of lone sets need to link themselves; pairs of clusters are measured wherever their members might link.
+    met = centre_pairs(tokens, clusters, percent)
+    reach = cut_lineage(clusters.groupBy("centre").agg(F.max("far").alias("reach"), F.count_if(F.col("centre") != F.col("row")).alias("others")))
+    sides = [reach.select(F.col("centre").alias(k), F.col("reach").alias(f"reach_{k}"), F.col("others").alias(f"others_{k}")) for k in "ab"]
+    met = cut_lineage(met.join(sides[0], "a").join(sides[1], "b").select("a", "b", (F.col("others_a") + F.col("others_b") > 0).alias("clusters")))
+    alone = possible(met.filter("not clusters").select("a", "b"), sets, percent)
+    between = cut_lineage(overlaps(alone.union(met.filter("clusters").select("a", "b")), rows, words))
     links = links.union(between.filter(near).select("a", "b"))
     # Open two clusters where a link between members is still possible.
-    reach = clusters.groupBy("centre").agg(F.max("far").alias("reach"), F.count_if(F.col("centre") != F.col("row")).alias("others"))
-    sides = [reach.select(F.col("centre").alias(k), F.col("reach").alias(f"reach_{k}"), F.col("others").alias(f"others_{k}")) for k in "ab"]
     apart = between.withColumn("apart", F.expr("1 - common / (na + nb - common)"))
     room = 1 - percent / 100 + 1e-9
     opened = apart.join(sides[0], "a").join(sides[1], "b").filter(f"others_a + others_b > 0 and apart - reach_a - reach_b <= {room}").select("a", "b", "apart")
@@ -261,7 +294,7 @@ def set_links(rows: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
     members = opened.join(ends[0], "a").join(ends[1], "b").filter(
         f"(row_a <> a or row_b <> b) and apart - far_a - far_b <= {room} and 100L * n_a >= {percent}L * n_b and 100L * n_b >= {percent}L * n_a"
     )
-    last = overlaps(members.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")), rows, words).filter(near)
+    last = overlaps(possible(members.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")), sets, percent), rows, words).filter(near)
     return links.union(last.select("a", "b"))
 
 
@@ -271,9 +304,9 @@ def row_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     found = cut_lineage(sketches(rows, words))
     prints = ["print1", "print2", "n"]
     first = found.filter("n > 0").groupBy(*prints).agg(F.min("row").alias("set_row"))
-    members = found.filter("n > 0").join(first, prints).select("row", "doc_id", "n", "set_row", F.when(F.col("row") == F.col("set_row"), F.col("least")).alias("least"))
+    members = found.filter("n > 0").join(first, prints).select("row", "doc_id", "n", "set_row", *(F.when(F.col("row") == F.col("set_row"), F.col(c)).alias(c) for c in ("least", "profile")))
     members = cut_lineage(members)
-    sets = members.filter("row = set_row").select("row", "n", "least")
+    sets = members.filter("row = set_row").select("row", "n", "least", "profile")
     components = connected_components(set_links(rows, sets, words, percent))
     classes = members.join(components.select(F.col("node").alias("set_row"), "component"), "set_row", "left").withColumn("class_row", F.coalesce("component", "set_row"))
     # The row that stands for a class has its smallest id; ids that are null count as the largest.
