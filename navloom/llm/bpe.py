@@ -137,6 +137,13 @@ class ChunkCodes(dict):
         self[chunk] = code
         return code
 
+    def forget(self) -> None:
+        """Free what a partition has taught; the next task of this process may be of another kind."""
+        self.clear()
+        self.codes.clear()
+        self.codes.encoder.compatible.clear()
+        self[""] = b""
+
     def encode(self, text: str | None) -> bytes:
         return b"".join([self[c] for c in chunks(text)]) if text else b""
 
@@ -178,6 +185,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
                 if decoded:
                     columns.append(pa.array([decoder.decode(np.frombuffer(x, "<u4")).decode("utf-8") for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"][: len(columns)])
+        codes.forget()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary"

@@ -20,7 +20,7 @@ _LETTER = _random.integers(1, 2**64, 256, np.uint64, endpoint=False)
 _LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1]
 _STEP = np.uint64(int(_random.integers(1, 2**62)) * 2 + 1)
 _PLACES = _random.integers(1, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -107,6 +107,12 @@ class ChunkCounts(dict):
         self[chunk] = packed
         return packed
 
+    def forget(self) -> None:
+        """Free what a partition has taught."""
+        self.clear()
+        self.counts.clear()
+        self[""] = 0
+
     def count(self, text: str | None) -> int:
         return sum([self[c] for c in chunks(text)]) if text else 0
 
@@ -128,6 +134,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
                 packed = [counts.count(t) for t in part.column(1).to_pylist()]
                 columns = [part.column(0), pa.array([p >> 32 for p in packed], pa.int64()), pa.array([p & 0xFFFFFFFF for p in packed], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_tokens"])
+        counts.forget()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long")
