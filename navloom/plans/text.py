@@ -137,7 +137,10 @@ g AS (SELECT h.item_id, CASE WHEN COUNT(DISTINCT key) = 1 THEN MIN(key) END AS k
 SELECT t.item_id, g.key FROM t LEFT JOIN g USING (item_id)""")
 def benchmark_match_longest(spark: SparkSession, d: str) -> DataFrame:
     texts = view(spark, d, "benchmark").select("item_id", F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")).alias("body"))
-    keys = texts.select(F.explode(F.split("body", " ")).alias("key")).distinct().filter("length(key) = 4")
+    # The SQL beside still keeps keys of four letters only; here keys of every length take part, single words and runs of two.
+    words = F.split("body", " ")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 2), " "))
+    keys = texts.select(F.explode(F.concat(words, runs)).alias("key")).distinct().filter("key <> ''")
     return resolve.longest_contained(texts, keys, "body", "key").select("item_id", "key")
 
 
@@ -156,8 +159,7 @@ def scheme_families(spark: SparkSession, d: str) -> DataFrame:
 @C.query()
 def fuzzy_best_matches(spark: SparkSession, d: str) -> DataFrame:
     texts = view(spark, d, "benchmark")
-    short = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    return resolve.best_matches(texts.select(F.col("item_id").alias("name_id"), short.alias("name")), texts.select(F.col("item_id").alias("issuer_id"), F.array_join(F.slice(F.split("text", " "), 2, 6), " ").alias("issuer_name")))
+    return resolve.best_matches(texts.select(F.col("item_id").alias("name_id"), F.col("text").alias("name")), texts.select(F.col("item_id").alias("issuer_id"), F.col("text").alias("issuer_name")))
 
 
 @C.query("""WITH c AS (SELECT p_partkey AS id, p_name AS n, lower(p_name) AS l FROM part) SELECT id, n AS name FROM c WHERE l LIKE '%r%' AND l LIKE '%e%' ORDER BY l LIKE 'r%' DESC, len(n), n, id LIMIT 20""")
