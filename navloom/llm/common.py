@@ -38,6 +38,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder. What depends on how the input was split, as row numbers do, is fixed by that one write."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names starting with ``names`` that clash with no column of ``df``, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navloom.llm.bloom import MAX_BITS, bitmaps, filter_bits, with_maybe
-from navloom.llm.common import SPACE_RE, cut_lineage, fresh, text_or_empty
+from navloom.llm.common import SPACE_RE, cut_lineage, fresh, text_or_empty, written_once
 
 
 def normalised(text: str | Column) -> Column:
@@ -52,11 +52,12 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 2, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Only rows that may have a copy are shuffled."""
     digest, row, maybe, first = fresh(docs, "digest", "row", "maybe", "first")
-    marked = docs.withColumn(digest, text_digest(text_col)).withColumn(row, F.monotonically_increasing_id())
+    marked = docs.withColumn(digest, text_digest(text_col))
     digests = cut_lineage(marked.select(F.col(digest).alias("digest")))
     bits = filter_bits(digests.count(), bits_per_row, max_bits)
     flagged = with_maybe(marked, digest, bitmaps(digests, "digest", bits, hashes, at_least=2), bits, maybe, hashes)
-    rest = flagged.filter(F.col(maybe))
+    # The rows are joined back by number, so both sides must read the same numbers.
+    rest = written_once(flagged.filter(F.col(maybe)).withColumn(row, F.monotonically_increasing_id()), "numbered")
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     stays = rest.groupBy(digest).agg(F.min(key).alias(first)).select(digest, F.col(first)["row"].alias(row))
     kept = rest.join(stays, [digest, row], "left_semi")

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from navloom.llm.common import WORD_RE, fresh, text_or_empty
+from navloom.llm.common import WORD_RE, fresh, text_or_empty, written_once
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -120,7 +120,8 @@ def mix_plan(docs: DataFrame, schedules: Sequence[Schedule] = FALLING_5_2_1, sha
 def mixed_documents(docs: DataFrame, schedules: Sequence[Schedule] = FALLING_5_2_1, share: float = 1.5, cap: int = 2, digits: int = 3) -> DataFrame:
     """The rows of ``docs`` in training order, each as often as the mix takes it, with all their columns."""
     key, tie, size, row, place = fresh(docs, "key", "tie", "size", "row", "place")
-    marked = docs.withColumn(row, F.monotonically_increasing_id())
+    # The rows are joined back by number, so both sides must read the same numbers.
+    marked = written_once(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     rows = marked.select("doc_id", "source", F.col(row).alias("row"), word_count("text").alias("size"), F.md5(text_or_empty(F.col("doc_id").cast("string"))).alias("key"), F.crc32(text_or_empty("text")).alias("tie"))
     copies = F.explode(F.sequence(F.lit(0), (F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("long") - 1)).alias("turn")
     planned = _planned(rows, schedules, share, cap, digits, cut=False).filter("taken > 0").select("*", copies)

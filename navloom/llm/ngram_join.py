@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navloom.llm.bloom import marked
-from navloom.llm.common import cut_lineage, fresh
+from navloom.llm.common import cut_lineage, fresh, written_once
 from navloom.llm.components import connected_components
 from navloom.llm.shingles import mix, overlap, shingle_sets
 
@@ -48,7 +48,8 @@ _SEEDS = mix(np.arange(1, MINHASHES + 3, dtype=np.uint64) * np.uint64(0x9E3779B9
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """Ids and texts with row numbers that no later job can assign anew."""
+    return written_once(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "numbered")
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -300,7 +301,11 @@ def set_links(rows: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
 
 def row_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: row (its number in ``docs``), doc_id, n_shingles, class_row (the row of its class that stands for all) and component_id."""
-    rows = _numbered(docs, id_col, text_col)
+    return _components(_numbered(docs, id_col, text_col), words, percent)
+
+
+def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """``row_components`` of rows (row, doc_id, text) whose numbers are already fixed."""
     found = cut_lineage(sketches(rows, words))
     prints = ["print1", "print2", "n"]
     first = found.filter("n > 0").groupBy(*prints).agg(F.min("row").alias("set_row"))
@@ -325,7 +330,9 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, percent: int = 80, i
 def one_of_each_class(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand for their class, with all their columns. Only rows that may go are shuffled."""
     row, maybe = fresh(docs, "row", "maybe")
-    goes = cut_lineage(row_components(docs, words, percent).filter("class_row <> row").select(F.col("row").alias(row)))
-    flagged = marked(docs.withColumn(row, F.monotonically_increasing_id()), row, goes, maybe)
+    numbered = written_once(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = _components(numbered.select(F.col(row).alias("row"), "doc_id", "text"), words, percent)
+    goes = cut_lineage(found.filter("class_row <> row").select(F.col("row").alias(row)))
+    flagged = marked(numbered, row, goes, maybe)
     kept = flagged.filter(F.col(maybe)).join(goes, row, "left_anti")
     return flagged.filter(~F.col(maybe)).select(*docs.columns).unionByName(kept.select(*docs.columns))
