@@ -128,7 +128,8 @@ def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
     instruments = codes.select(F.concat(F.left("isin", F.lit(11)), T.isin_check_digit(F.left("isin", F.lit(11))).cast("string")).alias("isin"), F.concat(F.lit("P"), F.col("id").cast("string")).alias("issuer_id"), "id").filter("id % 4 = 0")
     # Codes repeat only if parts do: each body holds the part's number.
     aliases = codes.filter("id % 2 = 0").select(F.concat(F.lit("Part "), F.col("id").cast("string")).alias("alias"), F.concat(F.lit("A"), F.col("id").cast("string")).alias("issuer_id"))
-    return resolve.resolve(_raw_rows(spark, d), instruments.select("isin", "issuer_id"), aliases).select("row_id", "method", "issuer_id")
+    issuers = aliases.select("issuer_id", F.col("alias").alias("issuer_name"))
+    return resolve.resolve(_raw_rows(spark, d), instruments.select("isin", "issuer_id"), aliases, issuers).select("row_id", "method", "issuer_id")
 
 
 @C.query("""WITH t AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS body FROM benchmark), w AS (SELECT DISTINCT unnest(string_split(body, ' ')) AS key FROM t), k AS (SELECT key FROM w WHERE len(key) = 4),
