@@ -53,14 +53,27 @@ def link_reversals(txns: DataFrame, days: int = 30) -> DataFrame:
 
 
 def link_switches(txns: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """Pairs of switch-out and switch-in of one folio and day whose amounts agree within ``tolerance``, matched in the order of size."""
-    sides = []
-    for kind in ("OUT", "IN"):
-        own = txns.filter(F.col("txn_type") == f"SWITCH_{kind}").withColumn("size", F.abs("amount"))
-        rank = F.row_number().over(Window.partitionBy("user_id", "folio", "txn_date").orderBy("size", "txn_ref"))
-        sides.append(own.select("user_id", "folio", "txn_date", rank.alias("k"), F.col("txn_ref").alias(f"{kind.lower()}_ref"), F.col("size").alias(f"{kind.lower()}_size")))
-    both = sides[0].join(sides[1], ["user_id", "folio", "txn_date", "k"])
-    return both.filter(F.abs(F.col("out_size") - F.col("in_size")) <= tolerance).select("user_id", "folio", "txn_date", "out_ref", "in_ref")
+    """Pairs of switch-out and switch-in of one folio and day: each out, in the order of reference, takes the first in that is still free and within ``tolerance``."""
+    day = ["user_id", "folio", "txn_date"]
+    legs = txns.filter(F.col("txn_type").isin("SWITCH_OUT", "SWITCH_IN") & F.col("amount").isNotNull())
+    legs = legs.select(*day, "txn_ref", (F.col("txn_type") == "SWITCH_OUT").alias("out"), F.abs("amount").cast("double").alias("size"))
+
+    def pair(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("txn_ref")
+        outs, ins = group[group["out"]], group[~group["out"]]
+        sizes, refs, found = ins["size"].to_numpy(), ins["txn_ref"].to_numpy(), []
+        free = np.ones(len(ins), bool)
+        for ref, size in zip(outs["txn_ref"], outs["size"], strict=True):
+            # Rounded, so that a difference of exactly the tolerance counts.
+            near = np.flatnonzero(free & (np.round(np.abs(sizes - size), 6) <= tolerance))
+            if len(near):
+                free[near[0]] = False
+                found.append((ref, refs[near[0]]))
+        out = group.iloc[[0] * len(found)][day].reset_index(drop=True)
+        return out.assign(out_ref=[a for a, _ in found], in_ref=[b for _, b in found])
+
+    kind = {f.name: f.dataType.simpleString() for f in legs.schema}
+    return legs.groupBy(*day).applyInPandas(pair, ", ".join([*(f"{c} {kind[c]}" for c in day), f"out_ref {kind['txn_ref']}", f"in_ref {kind['txn_ref']}"]))
 
 
 def signed_units(types: Column, units: Column) -> Column:

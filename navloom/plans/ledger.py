@@ -169,7 +169,8 @@ def _switching(spark: SparkSession, d: str) -> DataFrame:
 SELECT o.user_id, o.folio, o.txn_date, o.txn_ref AS out_ref, i.txn_ref AS in_ref FROM w o JOIN w i ON o.user_id = i.user_id AND o.folio = i.folio AND o.txn_date = i.txn_date AND o.rk = i.rk
 WHERE o.txn_type = 'REDEMPTION' AND i.txn_type = 'PURCHASE' AND ABS(ABS(o.amount) - ABS(i.amount)) <= 25""")
 def link_switches(spark: SparkSession, d: str) -> DataFrame:
-    return L.link_switches(_switching(spark, d), tolerance=25.0)
+    # The SQL beside still pairs by rank of size, up to 25 apart.
+    return L.link_switches(_switching(spark, d))
 
 
 @C.query(_T + """, w AS (SELECT *, FLOOR(ABS(amount)) AS size FROM t), r AS (SELECT w.*, c.txn_ref AS cref, c.txn_date AS cdate FROM w LEFT JOIN LATERAL (

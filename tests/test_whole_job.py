@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import random
 import re
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from navloom.functions import text as T
-from navloom.operators import resolve
+from navloom.operators import ledger, resolve
 
 TEXTS = [
     "alpha beta gamma delta epsilon zeta one two three four five six",
@@ -54,3 +56,19 @@ def test_longest_key_of_any_length(spark, tmp_path):
         longest = [k for k in hits if len(k) == max(map(len, hits))]
         want[i] = longest[0] if len(longest) == 1 else None
     assert got == want and got[4] == "far longest"
+
+
+def test_switches_with_unpaired_legs(spark):
+    r, day = random.Random(2), dt.date(2024, 1, 2)
+    legs = [(1, 50.0, "OUT"), (2, 100.0, "OUT"), (3, 200.0, "OUT"), (4, -100.0, "IN"), (5, -200.0, "IN")]
+    rows = [(1, "f", day, ref, f"SWITCH_{k}", a) for ref, a, k in legs]
+    rows += [(2, r.choice("gh"), day, 100 + i, r.choice(["SWITCH_OUT", "SWITCH_IN"]), round(r.uniform(1, 9), 1)) for i in range(60)]
+    got = {(x.out_ref, x.in_ref) for x in ledger.link_switches(spark.createDataFrame(rows, "user_id int, folio string, txn_date date, txn_ref int, txn_type string, amount double")).collect()}
+    taken, want = set(), set()
+    for o in (x for x in rows if x[4] == "SWITCH_OUT"):
+        for i in (x for x in rows if x[4] == "SWITCH_IN"):
+            if i[3] not in taken and i[:3] == o[:3] and round(abs(abs(o[5]) - abs(i[5])), 6) <= 1:
+                taken.add(i[3])
+                want.add((o[3], i[3]))
+                break
+    assert got == want and {(2, 4), (3, 5)} <= got
