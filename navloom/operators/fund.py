@@ -114,9 +114,12 @@ def leaders(figures: DataFrame, by: str, metric: str, k: int = 5) -> DataFrame:
 
 
 def live_funds(funds: DataFrame, seen: DataFrame, within_days: int = 7) -> DataFrame:
-    """Funds seen within ``within_days`` of the newest date: one per house and family, growth first, then by id."""
+    """Direct plans seen within ``within_days`` of the newest date: one per house and family, growth first, then by id. A fund without a family stands alone."""
     dated = funds.join(seen.groupBy("scheme_id").agg(F.max("nav_date").alias("last_seen")), "scheme_id")
     newest = F.broadcast(dated.agg(F.max("last_seen").alias("newest")))
     live = dated.crossJoin(newest).filter(F.datediff("newest", "last_seen") <= within_days)
-    rank = F.row_number().over(Window.partitionBy("amc_id", "family").orderBy(F.desc(F.col("option") == "growth"), "scheme_id"))
-    return live.withColumn("rank", rank).filter("rank = 1").drop("rank", "newest")
+    # Two parts of the key, so that no family's name meets a fund's id.
+    alone = F.when(F.col("family").isNull(), F.col("scheme_id"))
+    growth = F.coalesce(F.col("option") == "growth", F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("amc_id", "family", alone).orderBy(F.desc(growth), "scheme_id"))
+    return live.filter("plan = 'direct'").withColumn("rank", rank).filter("rank = 1").drop("rank", "newest")

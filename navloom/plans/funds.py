@@ -294,5 +294,5 @@ def fund_map(spark: SparkSession, d: str) -> DataFrame:
 l AS (SELECT x.*, last_seen FROM x JOIN s USING (scheme_id) WHERE (SELECT MAX(last_seen) FROM s) - last_seen <= 7)
 SELECT scheme_id, amc_id, family, option, last_seen FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY amc_id, family ORDER BY (option = 'growth') DESC, scheme_id) AS rk FROM l) WHERE rk = 1""")
 def live_funds(spark: SparkSession, d: str) -> DataFrame:
-    funds = view(spark, d, "fund").withColumn("family", F.col("scheme_id") % 4).withColumn("option", F.when(F.col("scheme_id") % 2 == 0, "growth").otherwise("payout"))
+    funds = view(spark, d, "fund").withColumn("family", F.col("scheme_id") % 4).withColumn("option", F.when(F.col("scheme_id") % 2 == 0, "growth").otherwise("payout")).withColumn("plan", F.lit("direct"))
     return fund.live_funds(funds, view(spark, d, "nav")).select("scheme_id", "amc_id", "family", "option", "last_seen")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from navloom.functions import text as T
-from navloom.operators import ledger, resolve
+from navloom.operators import fund, ledger, resolve
 
 TEXTS = [
     "alpha beta gamma delta epsilon zeta one two three four five six",
@@ -58,6 +58,14 @@ def test_longest_key_of_any_length(spark, tmp_path):
     assert got == want and got[4] == "far longest"
 
 
+def test_live_funds_without_a_family_and_regular_plans(spark):
+    day = dt.date(2024, 1, 31)
+    rows = [(1, 7, None, "growth", "direct"), (2, 7, None, "payout", "direct"), (3, 7, "x", "payout", "direct"), (4, 7, "x", "growth", "direct"), (0, 7, "x", "growth", "regular"), (5, 8, "x", "payout", "direct"), (6, 8, None, "growth", "regular")]
+    funds = spark.createDataFrame(rows, "scheme_id int, amc_id int, family string, option string, plan string")
+    seen = spark.createDataFrame([(r[0], day) for r in rows], "scheme_id int, nav_date date")
+    assert sorted(r.scheme_id for r in fund.live_funds(funds, seen).collect()) == [1, 2, 4, 5]
+
+
 def test_switches_with_unpaired_legs(spark):
     r, day = random.Random(2), dt.date(2024, 1, 2)
     legs = [(1, 50.0, "OUT"), (2, 100.0, "OUT"), (3, 200.0, "OUT"), (4, -100.0, "IN"), (5, -200.0, "IN")]
