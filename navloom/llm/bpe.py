@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navloom.llm.vocab import Vocabulary, chunks, load, spell
+from navloom.llm.vocab import Remembered, Vocabulary, chunks, load, spell
 
-#: Words whose tokens a task remembers at most; the memory is emptied when full.
-REMEMBERED_WORDS = 200_000
+#: Pairs of pieces whose compatibility a task remembers at most; the memory is emptied when full.
+REMEMBERED_PAIRS = 200_000
 ROWS_AT_ONCE = 256
 
 
@@ -72,7 +72,7 @@ class Encoder:
     def fits(self, left: int, right: int) -> bool:
         known = self.compatible.get((left, right))
         if known is None:
-            if len(self.compatible) >= REMEMBERED_WORDS:
+            if len(self.compatible) >= REMEMBERED_PAIRS:
                 self.compatible.clear()
             known = self.compatible[left, right] = self._apart_until(left, right, float("inf"))
         return known
@@ -104,7 +104,7 @@ class Encoder:
         return out
 
 
-class WordCodes(dict):
+class WordCodes(Remembered):
     """Word -> its token ids as little-endian unsigned 32-bit integers, worked out when first met."""
 
     def __init__(self, encoder: Encoder) -> None:
@@ -117,32 +117,27 @@ class WordCodes(dict):
         else:
             ids = self.encoder.encode_word(spell(word.encode("utf-8", "surrogatepass")))
             code = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        self[word] = code
+        self.keep(word, code)
         return code
 
 
-class ChunkCodes(dict):
+class ChunkCodes(Remembered):
     """The same for the chunks between blanks."""
 
     def __init__(self, vocab: Vocabulary, words: WordCodes) -> None:
-        super().__init__({"": b""})
+        super().__init__()
         self.vocab, self.codes = vocab, words
 
     def __missing__(self, chunk: str) -> bytes:
         code = b"".join([self.codes[w] for w in self.vocab.words(chunk)])
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        self[chunk] = code
+        self.keep(chunk, code)
         return code
 
-    def forget(self) -> None:
+    def forget_all(self) -> None:
         """Free what a partition has taught; the next task of this process may be of another kind."""
-        self.clear()
-        self.codes.clear()
+        self.forget()
+        self.codes.forget()
         self.codes.encoder.compatible.clear()
-        self[""] = b""
 
     def encode(self, text: str | None) -> bytes:
         return b"".join([self[c] for c in chunks(text)]) if text else b""
@@ -185,7 +180,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
                 if decoded:
                     columns.append(pa.array([decoder.decode(np.frombuffer(x, "<u4")).decode("utf-8") for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"][: len(columns)])
-        codes.forget()
+        codes.forget_all()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary"

@@ -6,7 +6,8 @@ with character offsets; the tokens under the loss are found by binary search of
 sorted token offsets. The three markers are tokens of their own, so no token crosses the border of a turn.
 
 Rows are ranged by conversation and turn, so even a conversation that holds a third of all rows is rendered by many
-tasks; it then comes in pieces, numbered in order and cut between turns. Reading back streams over the pieces.
+tasks; it then comes in pieces, numbered in order and cut between turns. Reading back takes digests over a whole
+conversation, so its pieces meet in one task, which holds one of them at a time.
 
 Defined cases
     * null text or role counts as empty; turns are ordered by turn (null first), then role, then text;
@@ -34,7 +35,9 @@ TURN, SAY, END = "<turn>", "<say>", "</turn>"
 PIECE_CHARS = 1 << 18
 PIECES_AT_ONCE = 64
 
-_TURN_RE = re.compile(rf"{TURN}((?:[^<]|<\\)*){SAY}((?:[^<]|<\\)*){END}\n")
+# Possessive runs: a turn of any length is matched without a note for each character.
+_ESCAPED = r"[^<]*+(?:<\\[^<]*+)*+"
+_TURN_RE = re.compile(rf"{TURN}({_ESCAPED}){SAY}({_ESCAPED}){END}\n")
 _ESCAPED_RE = re.compile(r"<\\|\\\\")
 
 

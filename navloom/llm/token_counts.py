@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navloom.llm.vocab import Vocabulary, chunks, load, spell
+from navloom.llm.vocab import Remembered, Vocabulary, chunks, load, spell
 
-REMEMBERED_WORDS = 200_000
 ROWS_AT_ONCE = 256
 
 
@@ -76,7 +75,7 @@ class LongestMatch:
         return count if node == 0 else -1
 
 
-class WordCounts(dict):
+class WordCounts(Remembered):
     def __init__(self, matcher: LongestMatch) -> None:
         super().__init__()
         self.matcher = matcher
@@ -86,32 +85,27 @@ class WordCounts(dict):
             count = 1
         else:
             count = self.matcher.count(spell(word.encode("utf-8", "surrogatepass")))
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        self[word] = count
+        self.keep(word, count)
         return count
 
 
-class ChunkCounts(dict):
+class ChunkCounts(Remembered):
     """Words and tokens of the chunks between blanks, packed into one number: words * 2**32 + tokens."""
 
     def __init__(self, vocab: Vocabulary, words: WordCounts) -> None:
-        super().__init__({"": 0})
+        super().__init__()
         self.vocab, self.counts = vocab, words
 
     def __missing__(self, chunk: str) -> int:
         words = self.vocab.words(chunk)
         packed = (len(words) << 32) + sum([self.counts[w] for w in words])
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        self[chunk] = packed
+        self.keep(chunk, packed)
         return packed
 
-    def forget(self) -> None:
+    def forget_all(self) -> None:
         """Free what a partition has taught."""
-        self.clear()
-        self.counts.clear()
-        self[""] = 0
+        self.forget()
+        self.counts.forget()
 
     def count(self, text: str | None) -> int:
         return sum([self[c] for c in chunks(text)]) if text else 0
@@ -134,7 +128,7 @@ def count_tokens(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
                 packed = [counts.count(t) for t in part.column(1).to_pylist()]
                 columns = [part.column(0), pa.array([p >> 32 for p in packed], pa.int64()), pa.array([p & 0xFFFFFFFF for p in packed], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_tokens"])
-        counts.forget()
+        counts.forget_all()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long")

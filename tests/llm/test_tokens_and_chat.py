@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from navloom.llm import bpe, chat, token_counts, vocab
@@ -36,6 +38,34 @@ def test_bpe_equals_the_library(make_docs, no_docs):
     assert bpe.encode_documents(no_docs, PATH).count() == 0
 
 
+def test_every_code_point_equals_the_library():
+    """Each alone, inside a word, before and after a combining mark, with and without blanks around."""
+    t, (codes, _) = library(), bpe._tools(PATH)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}B {c} {c}\u0301e{c}" for c in points[at : at + 256]) for at in range(0, len(points), 256)]
+    texts += ["".join(points[at : at + 64]) for at in range(0, len(points), 64)]
+    for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert codes.encode(text) == np.array(want.ids, "<u4").tobytes(), f"near U+{ord(text[1]):04X}"
+    codes.forget_all()
+
+
+def test_random_mixes_of_code_points_equal_the_library():
+    t, (codes, _), r = library(), bpe._tools(PATH), random.Random(6)
+    ranges = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x900, 0xE00), (0x1100, 0x1200), (0x2000, 0x2100), (0xAC00, 0xAD00), (0x10570, 0x105D0), (0x11380, 0x113D0)]
+    texts = ["".join(chr(r.randrange(*r.choice(ranges))) for _ in range(r.randint(1, 40))) for _ in range(5000)]
+    for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert codes.encode(text) == np.array(want.ids, "<u4").tobytes(), ascii(text)
+
+
+def test_memories_are_bounded_by_bytes():
+    m = vocab.Remembered(limit=10_000)
+    for i in range(1000):
+        m.keep(f"word{i}" * 8, b"x" * 40)
+        assert m.used <= 10_000 and sum(len(k) + len(v) for k, v in m.items()) <= m.used
+    m.keep("y" * 5000, b"")
+    assert "y" * 5000 not in m
+
+
 def test_backtracking_equals_merging_in_order():
     codes, _ = bpe._tools(PATH)
     encoder, r = codes.codes.encoder, random.Random(4)
@@ -109,6 +139,25 @@ def test_chat_reads_back(spark, monkeypatch):
         assert r.formatted_chars == sum(len(chat.render_turn(b, c)[0]) for _, b, c in own)
 
 
+def test_a_very_long_turn_needs_memory_in_proportion():
+    """20 MB with many brackets: read back in what a few copies of it take."""
+    text = ("word < \\ and " * 12 + "\n") * 130_000
+    line = chat.render_turn("user", text)[0]
+    assert len(line) > 20_000_000
+    tracemalloc.start()
+    assert chat.parse_turns(line) == [("user", text)]
+    assert tracemalloc.get_traced_memory()[1] < 12 * len(line)
+    tracemalloc.stop()
+    with pytest.raises(ValueError, match="no turn begins"):
+        chat.parse_turns(line[:-3])
+
+
+def test_repeated_rows_are_coded_row_by_row(spark):
+    docs = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "x"), (None, None)], "doc_id long, text string").selectExpr("*", "1 as ids", "2 as n_tokens")
+    assert sorted(r.n_tokens for r in bpe.encode_documents(docs, PATH).collect()) == [0, 1, 2, 2]
+    assert sorted((r.n_words, r.n_tokens) for r in token_counts.count_tokens(docs, PATH).collect()) == [(0, 0), (1, 1), (2, 2), (2, 2)]
+
+
 def test_chat_without_rows(spark):
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], CONV), BYTES)).count() == 0
 
