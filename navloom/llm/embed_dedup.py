@@ -4,7 +4,8 @@ Each half of a unit vector has a codebook of its own; the pair of nearest codes
 grid. A vector visits cells in the order of their distance, by multi-sequence traversal of the two sorted code
 lists, as many as reach the target recall, and is compared with all vectors of its label there, exactly and in double precision.
 
-Codebooks are fitted on at most ``sample`` vectors; every vector is indexed. The number of cells to visit is set
+Codebooks are fitted on at most ``sample`` vectors, one code for each 16 of them at most; every vector is indexed. A
+grid of the default sample has up to 1,250 x 1,250 cells, for some 200 million vectors a label; give a larger sample for more. The number of cells to visit is set
 on vectors moved to exactly the threshold away from sampled ones, the hardest links there can be, so it doesn't
 depend on how many links a sample happens to hold.
 
@@ -87,12 +88,19 @@ class MultiIndex:
         away -= (away * some).sum(1)[:, None] * some
         length = np.sqrt((away * away).sum(1))[:, None]
         other = cosine * some + np.sqrt(1 - cosine**2) * np.divide(away, length, out=np.zeros_like(away), where=length > 0)
-        grid = len(index.first) * len(index.second)
-        there, back = index.cells(other), index.cells(some)
         # A link is found from either end, so the better rank of the two counts.
-        ranks = [min(a.index(t), b.index(s)) for a, b, t, s in zip(index.order(some, grid), index.order(other, grid), there, back, strict=True)]
+        ranks = np.minimum(index.ranks(some, index.cells(other)), index.ranks(other, index.cells(some)))
         return cls(index.first, index.second, int(np.quantile(ranks, recall, method="higher")) + 1)
 
+    def ranks(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells a traversal visits before it comes to the given one, for each vector; no cell is walked for it."""
+        out = np.zeros(len(x), np.int64)
+        for i, (a, b) in enumerate(zip(*self._both(x), strict=True)):
+            bound = a[cells[i] // len(b)] + b[cells[i] % len(b)]
+            # The cell itself is not counted; cells as far as it are.
+            out[i] = np.searchsorted(np.sort(b), bound + 1e-12 - a, "right").sum() - 1
+        return out
+
     def _both(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = x.shape[1] // 2
         return _distances(x[:, :half], self.first), _distances(x[:, half:], self.second)
@@ -106,9 +114,9 @@ class MultiIndex:
             yield multi_sequence(a, b, visits)
 
 
-def _grid_size(vectors: int, labels: int) -> int:
-    """Codes per half, so that a cell of a label holds some 128 vectors."""
-    return int(min(256, max(4, np.ceil(np.sqrt(vectors / (128 * max(1, labels)))))))
+def _grid_size(vectors: int, labels: int, sample: int) -> int:
+    """Codes per half, so that a cell of a label holds some 128 vectors; a code is fitted on 16 of the sample at least."""
+    return int(min(max(4, sample // 16), max(4, np.ceil(np.sqrt(vectors / (128 * max(1, labels)))))))
 
 
 def _indexed(distinct: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
@@ -177,7 +185,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
         total = own.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")).first()
         taken = own.select("embedding", F.xxhash64("row").alias("h"), "row").orderBy("h", "row").limit(sample).toPandas()
         if dim > 1:
-            indexes[dim] = MultiIndex.fit(np.stack(taken["embedding"]), _grid_size(total["n"], total["labels"]), cosine, recall)
+            indexes[dim] = MultiIndex.fit(np.stack(taken["embedding"]), _grid_size(total["n"], total["labels"], sample), cosine, recall)
     found = cut_lineage(_indexed(distinct, indexes))
     key = ["label", "dim", "cell"]
     base = found.select("row", "label", "dim", "copies", "embedding", "visited", F.col("cell").alias("own"))

@@ -1,8 +1,9 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
 Records hash to a few thousand virtual slots. Rows and bytes are summed per slot (a table of fixed size),
-and a map from slot to shard is stored with a version number. Growing or rebalancing edits the map: whole
-slots move, records never hash anew.
+and a map from slot to shard is stored with a version number. The first version deals the slots in turn; from then
+on the newest version is loaded, and growing or rebalancing edits it into the next: whole slots move, records never
+hash anew.
 
 Defined cases
     * null text has no bytes (a record still weighs ``overhead``); null ids hash with their text's checksum;
@@ -12,7 +13,7 @@ Defined cases
 
 from __future__ import annotations
 
-import heapq
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,15 +32,9 @@ class SlotMap:
     shard_of: tuple[int, ...]
 
     @classmethod
-    def by_bytes(cls, slot_bytes: list[int], shards: int, version: int = 0) -> SlotMap:
-        """Heaviest slot first, each to the lightest shard so far."""
-        loads = [(0, 0, s) for s in range(shards)]
-        shard_of = [0] * len(slot_bytes)
-        for v in sorted(range(len(slot_bytes)), key=lambda v: (-slot_bytes[v], v)):
-            load, slots, s = heapq.heappop(loads)
-            shard_of[v] = s
-            heapq.heappush(loads, (load + slot_bytes[v], slots + 1, s))
-        return cls(version, shards, tuple(shard_of))
+    def dealt(cls, slots: int, shards: int) -> SlotMap:
+        """The first version: slots to shards in turn, whatever they hold."""
+        return cls(0, shards, tuple(v % shards for v in range(slots)))
 
     def loads(self, slot_bytes: list[int]) -> list[int]:
         out = [0] * self.shards
@@ -64,21 +59,31 @@ class SlotMap:
             loads[new] += slot_bytes[v]
         return SlotMap(self.version + 1, new + 1, tuple(shard_of))
 
-    def rebalance(self, slot_bytes: list[int], tolerance: float = 0.02) -> SlotMap:
-        """Move slots from the heaviest to the lightest shard while that narrows a gap above ``tolerance`` of the mean."""
+    def rebalance(self, slot_bytes: list[int], tolerance: float = 0.002) -> SlotMap:
+        """Move slots from the heaviest to the lightest shard while that narrows a gap above ``tolerance`` of the mean.
+
+        The same map comes back, with its version, if no slot has to move.
+        """
         shard_of, loads = list(self.shard_of), self.loads(slot_bytes)
         mean = max(1.0, sum(loads) / self.shards)
+        own: list[list[tuple[int, int]]] = [[] for _ in range(self.shards)]
+        for v, s in enumerate(shard_of):
+            if slot_bytes[v]:
+                insort(own[s], (slot_bytes[v], v))
         for _ in range(len(shard_of)):
             high, low = max(range(self.shards), key=lambda s: (loads[s], -s)), min(range(self.shards), key=lambda s: (loads[s], s))
             gap = loads[high] - loads[low]
-            fits = [v for v, s in enumerate(shard_of) if s == high and 0 < slot_bytes[v] < gap]
+            at = bisect_left(own[high], (gap / 2, -1))
+            fits = [x for x in own[high][max(0, at - 1) : at + 1] if x[0] < gap]
             if gap <= tolerance * mean or not fits:
                 break
-            v = min(fits, key=lambda v: (abs(slot_bytes[v] - gap / 2), v))
-            shard_of[v] = low
-            loads[high] -= slot_bytes[v]
-            loads[low] += slot_bytes[v]
-        return SlotMap(self.version + 1, self.shards, tuple(shard_of))
+            best = min(fits, key=lambda x: (abs(x[0] - gap / 2), x[1]))
+            own[high].remove(best)
+            insort(own[low], best)
+            shard_of[best[1]] = low
+            loads[high] -= best[0]
+            loads[low] += best[0]
+        return SlotMap(self.version + 1, self.shards, tuple(shard_of)) if shard_of != list(self.shard_of) else self
 
 
 def store_slot_map(spark: SparkSession, slots: SlotMap, path: str) -> None:
@@ -87,11 +92,21 @@ def store_slot_map(spark: SparkSession, slots: SlotMap, path: str) -> None:
     spark.createDataFrame(rows, "vslot int, shard int, shards int").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={slots.version}")
 
 
+def stored_versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions under ``path``, ascending; none where nothing is stored yet."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in files.listStatus(root)] if files.exists(root) else []
+    # A version whose writing was cut short has no _SUCCESS beside its rows.
+    whole = [p.getName() for p in found if p.getName().startswith("version=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n.removeprefix("version=")) for n in whole)
+
+
 def load_slot_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
     """The named version, else the newest."""
-    stored = spark.read.parquet(path)
-    rows = stored.filter(F.col("version") == (F.lit(version) if version is not None else stored.agg(F.max("version")).first()[0])).orderBy("vslot").collect()
-    return SlotMap(rows[0]["version"], rows[0]["shards"], tuple(r["shard"] for r in rows))
+    version = stored_versions(spark, path)[-1] if version is None else version
+    rows = spark.read.parquet(f"{path}/version={version}").orderBy("vslot").collect()
+    return SlotMap(version, rows[0]["shards"], tuple(r["shard"] for r in rows))
 
 
 def slotted(docs: DataFrame, slots: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
@@ -114,18 +129,36 @@ def slot_totals(records: DataFrame, slots: int) -> tuple[list[int], list[int]]:
     return sums, rows
 
 
+def current_map(spark: SparkSession, path: str, sums: list[int], shards: int) -> SlotMap:
+    """The newest stored map, edited for these bytes per slot; each edit is stored as the next version.
+
+    Without a stored map the slots are dealt in turn first. More shards than the map has are added one by one.
+    """
+    if not stored_versions(spark, path):
+        store_slot_map(spark, SlotMap.dealt(len(sums), shards), path)
+    slots = load_slot_map(spark, path)
+    if len(slots.shard_of) != len(sums) or slots.shards > shards:
+        raise ValueError("a stored map keeps its slots, and shards are only added")
+    while slots.shards < shards:
+        slots = slots.grow(sums)
+        store_slot_map(spark, slots, path)
+    even = slots.rebalance(sums)
+    if even.version != slots.version:
+        store_slot_map(spark, even, path)
+    return load_slot_map(spark, path)
+
+
 def assign_shards(docs: DataFrame, shards: int = 40, slots: int = 4096, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version.
 
-    The law is ``bytes``. ``slot`` is the record's place in its shard: a virtual slot's places follow those
-    of the shard's earlier virtual slots, so only records of one virtual slot are ever sorted together.
+    The law is ``bytes``. ``map_path`` is where versions are kept from run to run; without it the map is a new one.
+    ``slot`` is the record's place in its shard: a virtual slot's places follow those of the shard's earlier
+    virtual slots, so only records of one virtual slot are ever sorted together.
     """
     spark = docs.sparkSession
     records = cut_lineage(slotted(docs, slots))
     sums, rows = slot_totals(records, slots)
-    path = map_path or shared_path(spark, "slot-map")
-    store_slot_map(spark, SlotMap.by_bytes(sums, shards), path)
-    current = load_slot_map(spark, path)
+    current = current_map(spark, map_path or shared_path(spark, "slot-map"), sums, shards)
     base, nexts = [0] * slots, [0] * current.shards
     for v, s in enumerate(current.shard_of):
         base[v], nexts[s] = nexts[s], nexts[s] + rows[v]

@@ -40,6 +40,43 @@ def test_labels_of_held_out_rows_are_not_learned_from(spark, make_docs):
     assert a == b
 
 
+def plain_statistics(text):
+    """The statistics of one text by their plain definitions."""
+    data = (text or "").encode()
+    words = [w.translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))) for w in re.findall(rb"[^\x20\x09-\x0D]+", data)]
+    share = lambda test: sum(map(test, data)) / len(data) if data else 0.0
+    lines = data.count(b"\n")
+    runs = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    sizes = [len(w) for w in words]
+    n = len(words)
+    return {
+        "chars": len(data), "words": n, "word_size": np.mean(sizes) if n else 0, "short_words": np.mean([s <= 3 for s in sizes]) if n else 0,
+        "different_words": len(set(words)) / n if n else 0, "commonest_word": max(map(words.count, words)) / n if n else 0,
+        "same_as_before": np.mean([a == b for a, b in zip(words, words[1:])]) if n > 1 else 0, "repeated_runs": 1 - len(set(runs)) / len(runs) if runs else 0,
+        "upper": share(lambda b: 65 <= b <= 90), "digit": share(lambda b: 48 <= b <= 57), "line_end": share(lambda b: b == 10), "stop": share(lambda b: b in b".,"),
+        "bang": share(lambda b: b in b"!"), "bar": share(lambda b: b in b"|"), "beyond": share(lambda b: b > 127),
+        "sign": share(lambda b: b < 128 and not chr(b).isalnum() and not chr(b).isspace() and chr(b) not in ".,!|"),
+        "size_spread": np.std(sizes) if n else 0, "line_words": n / (1 + lines) if n else 0,
+    }
+
+
+def test_statistics_and_score_equal_their_plain_definitions(spark, make_docs, words):
+    r = random.Random(12)
+    texts = ["".join(r.choice([*words[:6], " ", "\n", ".", "!", "|", "é", "A", "7", "#", "\x00"]) for _ in range(r.randint(0, 80))) for _ in range(150)] + [None, "", "w " * 20_000, " \n "]
+    docs = make_docs(texts, extra=True).unionAll(make_docs(texts[:5], extra=True))
+    rows = quality.text_statistics(docs).collect()
+    assert len(rows) == len(texts) + 5
+    for row in rows:
+        want = plain_statistics(texts[row.doc_id])
+        assert {s: row[s] for s in quality.STATISTICS} == {s: pytest.approx(want[s], abs=1e-8) for s in quality.STATISTICS}
+    model = quality.fit_rules(np.array([[row[s] for s in quality.STATISTICS] for row in rows]), np.array([float(len(texts[row.doc_id] or "") % 3 > 0) for row in rows]))
+    assert model.rules
+    scored = quality.text_statistics(docs).select("*", model.score([F.col(s) for s in quality.STATISTICS]).alias("score")).collect()
+    for row in scored:
+        total = model.intercept + sum(w for conditions, w in model.rules if all((row[quality.STATISTICS[f]] <= t) == at_most for f, at_most, t in conditions))
+        assert row.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -109,6 +146,27 @@ def test_multi_sequence_visits_nearest_cells_first():
     assert embed_dedup.multi_sequence(a, b, 63) == want and embed_dedup.multi_sequence(a, b, 5) == want[:5]
 
 
+def test_ranks_are_places_in_the_traversal():
+    r = np.random.default_rng(4)
+    x = embed_dedup.unit(r.normal(size=(300, 12)))
+    index = embed_dedup.MultiIndex(embed_dedup.fit_codes(x[:, :6], 7, 1), embed_dedup.fit_codes(x[:, 6:], 7, 2), 0)
+    cells = index.cells(x[::-1])
+    want = [order.index(c) for order, c in zip(index.order(x, 49), cells, strict=True)]
+    assert index.ranks(x, cells).tolist() == want
+
+
+def test_near_duplicates_on_a_larger_grid_match_brute_force(spark):
+    """Few of many cells are visited; all links of 6,000 vectors are compared."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(3000, 24))
+    x = np.concatenate([base, base + r.normal(size=base.shape) * r.choice([0.1, 0.3, 0.4], size=(3000, 1))])
+    rows = [(i, [float(v) for v in x[i]], 0) for i in range(len(x))]
+    unit = embed_dedup.unit(x)
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    got = {v.vec_id: v.n_links for v in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.99 * want.sum() > 1000
+
+
 def test_recall_on_hard_links():
     r = np.random.default_rng(5)
     x = embed_dedup.unit(r.normal(size=(3000, 32)))
