@@ -8,6 +8,7 @@ position, by which documents are range-sorted.
 Defined cases
     * null or empty text has size 0 and is taken 0 words; a null source is a source like any other, ordered last;
     * sources without words have target 0; documents of one id are told apart by size and checksum, so reruns agree;
+    * documents without id are dealt by their text's checksum;
     * empty table: empty result; extra columns are ignored by the plan and kept by ``mixed_documents``.
 """
 
@@ -34,12 +35,18 @@ def word_count(text: str | Column) -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD_RE)).cast("long")
 
 
+def _key(id_col: str, text_col: str) -> list[Column]:
+    """The order of documents in their source: ``key`` (hex) and ``tie``."""
+    tie = F.crc32(text_or_empty(text_col))
+    return [F.md5(F.coalesce(F.col(id_col).cast("string"), tie.cast("string"))).alias("key"), tie.alias("tie")]
+
+
 def _by_rank(values: Sequence[Column], rank: Column) -> Column:
     return F.element_at(F.array(*values), (F.pmod(rank - 1, F.lit(len(values))) + 1).cast("int"))
 
 
 def source_targets(sizes: DataFrame, schedules: Sequence[Schedule], share: float, cap: int) -> DataFrame:
-    """From (source, source_size): also rank, weight and target. One row per source, so one window over all is small.
+    """From (source, source_size): also rank, weight and target. One narrow row per source goes through one window.
 
     Sources fill up in the order of cap to weight. Where the level that all remaining sources could share is
     beyond a source's cap, its cap is its target; the first level below fixes all others.
@@ -110,7 +117,7 @@ def mix_plan(docs: DataFrame, schedules: Sequence[Schedule] = FALLING_5_2_1, sha
     gives only the words still wanted; without it a document is taken whole or not, whichever is nearer.
     ``position`` is the training time (0..1) of a document's first word, null if nothing is taken.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.md5(text_or_empty(F.col(id_col).cast("string"))).alias("key"), F.crc32(text_or_empty(text_col)).alias("tie"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *_key(id_col, text_col))
     planned = _planned(rows, schedules, share, cap, digits, cut)
     position = F.when(F.col("taken") > 0, position_of(F.least(F.col("before") / F.greatest(F.col("demand"), F.lit(1)), F.lit(1.0)), F.col("segments")))
     out = planned.select("doc_id", "size", "source_size", "target", "taken", "source", position.alias("position"))
@@ -119,10 +126,10 @@ def mix_plan(docs: DataFrame, schedules: Sequence[Schedule] = FALLING_5_2_1, sha
 
 def mixed_documents(docs: DataFrame, schedules: Sequence[Schedule] = FALLING_5_2_1, share: float = 1.5, cap: int = 2, digits: int = 3) -> DataFrame:
     """The rows of ``docs`` in training order, each as often as the mix takes it, with all their columns."""
-    key, tie, size, row, place = fresh(docs, "key", "tie", "size", "row", "place")
+    row, place = fresh(docs, "row", "place")
     # The rows are joined back by number, so both sides must read the same numbers.
     marked = written_once(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    rows = marked.select("doc_id", "source", F.col(row).alias("row"), word_count("text").alias("size"), F.md5(text_or_empty(F.col("doc_id").cast("string"))).alias("key"), F.crc32(text_or_empty("text")).alias("tie"))
+    rows = marked.select("doc_id", "source", F.col(row).alias("row"), word_count("text").alias("size"), *_key("doc_id", "text"))
     copies = F.explode(F.sequence(F.lit(0), (F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("long") - 1)).alias("turn")
     planned = _planned(rows, schedules, share, cap, digits, cut=False).filter("taken > 0").select("*", copies)
     part = (F.col("turn") * F.col("source_size") + F.col("before")) / F.greatest(F.col("demand"), F.lit(1))

@@ -21,7 +21,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_plan(table(spark, sf_dir, "documents")).drop("source", "position")
+    return mixing.mix_plan(table(spark, sf_dir, "documents")).drop("source")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,17 +85,26 @@ l AS (
   FROM w),
 t AS (
   SELECT source, source_size,
+         [6.0::DOUBLE, 1.5::DOUBLE, 0.5::DOUBLE][((rank - 1) % 3 + 1)::INT] AS w0,
+         [4.0::DOUBLE, 2.5::DOUBLE, 1.5::DOUBLE][((rank - 1) % 3 + 1)::INT] AS w1,
          CASE WHEN level * weight >= cap THEN cap::DOUBLE
               ELSE max(CASE WHEN level * weight < cap THEN level END) OVER () * weight END AS target
   FROM l),
 c AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS demand,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.w0, t.w1, floor(t.target + 0.5)::BIGINT AS demand,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT *, CASE WHEN source_size > 0 THEN demand // greatest(source_size, 1) ELSE 0 END AS turns FROM c)
-SELECT doc_id, size, source_size, target,
-       (size * turns + greatest(0, least(size, demand - turns * source_size - before)))::BIGINT AS taken
-FROM e
+e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN demand // greatest(source_size, 1) ELSE 0 END AS turns,
+         least(before::DOUBLE / greatest(demand, 1)::DOUBLE, 1.0::DOUBLE) * ((w0 + w1) / 2.0::DOUBLE) AS area
+  FROM c),
+f AS (
+  SELECT *, (size * turns + greatest(0, least(size, demand - turns * source_size - before)))::BIGINT AS taken,
+         w0 + sqrt(w0 * w0 + 2.0::DOUBLE * (w1 - w0) * area) AS root
+  FROM e)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN CASE WHEN root > 0 THEN 2.0::DOUBLE * area / root ELSE 0.0::DOUBLE END END AS position
+FROM f
 """
 
 OP5_SQL = r"""

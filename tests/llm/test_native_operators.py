@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -100,11 +101,58 @@ def test_shards_are_even_and_slots_gapless(make_docs, no_docs):
     assert sharding.assign_shards(no_docs, shards=4, slots=16).count() == 0
 
 
+def test_rows_follow_the_stored_map(spark, tmp_path):
+    """Every column of every row against the map as stored: shard of its slot, checksum, size and a gapless place."""
+    rows = [(i, "z" * (i * 53 % 400), "u") for i in range(500)] + [(7, "same", "u"), (7, "same", "v"), (7, "other", "w"), (None, "same", "x"), (None, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    path = str(tmp_path / "map")
+    got = sharding.assign_shards(docs, shards=6, slots=128, map_path=path).collect()
+    stored = {r.vslot: r.shard for r in spark.read.parquet(f"{path}/version={got[0].map_version}").collect()}
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert all(r.shard == stored[r.vslot] for r in got)
+    slot_of = defaultdict(set)
+    for r in got:
+        slot_of[r.doc_id, r.text_crc32].add(r.vslot)
+    assert all(len(v) == 1 for v in slot_of.values())
+    for s in range(6):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_a_later_run_edits_the_stored_map(spark, make_docs, tmp_path):
+    path, texts = str(tmp_path / "map"), ["y" * (i * 37 % 900) for i in range(3000)]
+    first = {r.doc_id: r.shard for r in sharding.assign_shards(make_docs(texts[:2500]), 8, 512, path).collect()}
+    versions = sharding.stored_versions(spark, path)
+    again = {r.doc_id: r.shard for r in sharding.assign_shards(make_docs(texts[:2500]), 8, 512, path).collect()}
+    assert again == first and sharding.stored_versions(spark, path) == versions
+    more = sharding.assign_shards(make_docs(texts), 8, 512, path).collect()
+    load = Counter()
+    for r in more:
+        load[r.shard] += r.size
+    moved = sum(first.get(r.doc_id, r.shard) != r.shard for r in more)
+    assert 0 < moved < 0.15 * len(first) and max(load.values()) < 1.01 * sum(load.values()) / 8
+    assert sharding.stored_versions(spark, path) == [*versions, versions[-1] + 1]
+    before = {r.doc_id: r.shard for r in more}
+    wider = {r.doc_id: r.shard for r in sharding.assign_shards(make_docs(texts), 9, 512, path).collect()}
+    assert sum(wider[d] != before[d] for d in wider) < 0.2 * len(wider) and 8 in wider.values()
+    with pytest.raises(ValueError, match="only added"):
+        sharding.assign_shards(make_docs(texts[:9]), 4, 512, path)
+
+
+def test_mix_with_ties_and_without_ids(spark):
+    rows = [(None, "a b", "s"), (None, "a b", "s"), (None, "c d e", "s"), (4, "a", "t"), (4, "a", "t"), (4, "b c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as position", "2 as tie")
+    plan = [sorted(map(str, mixing.mix_plan(docs.repartition(n)).collect())) for n in (1, 3)]
+    assert plan[0] == plan[1] and len(plan[0]) == 6
+    ranges = {r.key[:3] for r in docs.select(*mixing._key("doc_id", "text")).collect()}
+    assert len(ranges) >= 3
+
+
 def test_slot_map_versions(spark, tmp_path):
     sums = [(i * 7919) % 1000 + 1 for i in range(512)]
-    first = sharding.SlotMap.by_bytes(sums, 10)
+    first = sharding.SlotMap.dealt(512, 10).rebalance(sums)
+    assert first.version == 1 and first.rebalance(sums) is first
     grown = first.grow(sums)
-    assert grown.version == 1 and all(b in (a, 10) for a, b in zip(first.shard_of, grown.shard_of, strict=True))
+    assert grown.version == 2 and all(b in (a, 10) for a, b in zip(first.shard_of, grown.shard_of, strict=True))
     assert max(grown.loads(sums)) <= max(first.loads(sums)) and grown.loads(sums)[10] > 0.8 * sum(sums) / 11
     skewed = sharding.SlotMap(4, 10, tuple(0 if i % 2 else i % 10 for i in range(512)))
     even = skewed.rebalance(sums)
@@ -112,4 +160,4 @@ def test_slot_map_versions(spark, tmp_path):
     path = str(tmp_path / "map")
     for m in (first, grown):
         sharding.store_slot_map(spark, m, path)
-    assert sharding.load_slot_map(spark, path) == grown and sharding.load_slot_map(spark, path, 0) == first
+    assert sharding.load_slot_map(spark, path) == grown and sharding.load_slot_map(spark, path, 1) == first
