@@ -9,8 +9,8 @@ from navloom.llm.common import fresh
 
 #: Bits of one ``bitmap_construct_agg`` bitmap.
 BITMAP_BITS = 32768
-#: 16 MB of bitmaps at most; beyond this many keys more rows pass the filter, and results stay the same.
-MAX_BITS = 1 << 27
+#: 64 MB of bitmaps at most; beyond this many keys more rows pass the filter, and results stay the same.
+MAX_BITS = 1 << 29
 
 
 def filter_bits(keys: int, bits_per_key: int = 16, max_bits: int = MAX_BITS) -> int:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,18 +13,26 @@ from pyspark.sql import functions as F
 SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
+#: As many keys of a join get salts; their table is broadcast.
+HEAVY_KEYS = 1000
+#: Rows of a heavy key that share a salt.
+ROWS_PER_SALT = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only a session without one gets its own."""
+    """The shared folder named by ``spark.checkpoint.dir``. Only a local session without one gets its own; on a cluster this raises."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="navloom-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="navloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -45,9 +54,34 @@ def written_once(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names starting with ``names`` that clash with no column of ``df``, whatever its case."""
-    taken, out = {c.lower() for c in df.columns}, []
+def heavy_keys(df: DataFrame, keys: Sequence[str], count: Column | None = None) -> DataFrame:
+    """``keys`` and ``salts`` of the keys with more than ``ROWS_PER_SALT`` rows, the ``HEAVY_KEYS`` heaviest: a table of bounded size.
+
+    No key beyond these holds more than one row in ``HEAVY_KEYS``. The order is total, so a plan computed again finds the same keys.
+    ``count`` names the number of rows where ``df`` already has one row for each key.
+    """
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("salts")) if count is None else df.select(*keys, count.alias("salts"))
+    top = counted.filter(F.col("salts") > ROWS_PER_SALT).orderBy(F.desc("salts"), *keys).limit(HEAVY_KEYS)
+    return top.withColumn("salts", F.ceil(F.col("salts") / ROWS_PER_SALT).cast("int"))
+
+
+def salted_join(big: DataFrame, side: DataFrame, keys: Sequence[str], spread: Sequence[str], heavy: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``big`` and ``side`` on ``keys`` in which no heavy key of ``big`` meets in one task.
+
+    Rows of a heavy key are dealt over its salts by the columns ``spread``, and the rows of ``side`` are repeated for each salt.
+    """
+    heavy = heavy_keys(big, keys) if heavy is None else heavy
+    salt, salts = fresh_names([*big.columns, *side.columns], "salt", "salts")
+    heavy = F.broadcast(heavy.withColumnRenamed("salts", salts))
+    number = F.coalesce(F.col(salts), F.lit(1))
+    left = big.join(heavy, [*keys], "left").withColumn(salt, F.pmod(F.xxhash64(*spread), number).cast("int")).drop(salts)
+    right = side.join(heavy, [*keys], "left").withColumn(salt, F.explode(F.sequence(F.lit(0), number - 1))).drop(salts)
+    return left.join(right, [*keys, salt]).drop(salt)
+
+
+def fresh_names(taken_names: Sequence[str], *names: str) -> list[str]:
+    """Names starting with ``names`` that are none of ``taken_names``, whatever their case."""
+    taken, out = {c.lower() for c in taken_names}, []
     for name in names:
         n = f"__{name}"
         while n.lower() in taken:
@@ -57,5 +91,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names starting with ``names`` that clash with no column of ``df``, whatever its case."""
+    return fresh_names(df.columns, *names)
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from navloom.llm.common import cut_lineage
+from navloom.llm.common import cut_lineage, heavy_keys, salted_join
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,14 +13,17 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     A round gives each node the smallest label among its neighbours and itself, then the label of that label,
     so long chains shrink by half. Only (node, label) rows move; each round is written to the shared folder.
+    The links of a node with many neighbours are dealt over several tasks.
     """
     both = cut_lineage(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
+    heavy = cut_lineage(heavy_keys(both, ["b"]))
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     for _ in range(max_rounds):
-        spread = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label")
+        spread = salted_join(both, labels.withColumnRenamed("node", "b"), ["b"], ["a"], heavy).select(F.col("a").alias("node"), "label")
         least = spread.union(labels).groupBy("node").agg(F.min("label").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut_lineage(least.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")))
+        # Many nodes come to share a label, so that join is salted too.
+        new = cut_lineage(salted_join(least, jump, ["label"], ["node"]).select("node", F.least("label", "further").alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count()
         labels = new
         if not changed:

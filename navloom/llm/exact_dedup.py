@@ -2,7 +2,8 @@
 
 Pass one hashes every row's text digest to a few cells and notes the cells that two or more rows hit, as
 bitmaps. Pass two tests each row's cells against the bitmaps: a row with a cell of its own cannot have a
-copy, so it passes straight through; the others (all copies, and few more) are grouped by digest.
+copy, so it passes straight through; the others (all copies, and few more) are grouped by digest. What pass one
+itself moves are counts of cells, two numbers each. A digest that many rows share is dealt over several tasks.
 
 Defined cases
     * null text counts as empty; texts are equal when identical after each run of ASCII white space became one space;
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navloom.llm.bloom import MAX_BITS, bitmaps, filter_bits, with_maybe
-from navloom.llm.common import SPACE_RE, cut_lineage, fresh, text_or_empty, written_once
+from navloom.llm.common import SPACE_RE, cut_lineage, fresh, salted_join, text_or_empty, written_once
 
 
 def normalised(text: str | Column) -> Column:
@@ -32,8 +33,8 @@ def text_digest(text: str | Column) -> Column:
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 2, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``max_bits`` bounds the broadcast (16 MB by default); beyond it the filter lets more rows through to
-    the shuffle, and the result stays the same.
+    ``max_bits`` bounds the broadcast (64 MB by default, enough for 33 million rows at 16 bits each). With more
+    rows the filter lets a larger share of the digests through to the shuffle, and the result stays the same.
     """
     narrow = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), text_digest(text_col).alias("digest"), F.monotonically_increasing_id().alias("row")))
     bits = filter_bits(narrow.count(), bits_per_row, max_bits)
@@ -45,7 +46,7 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"),
         F.count(F.lit(1)).alias("group_size"),
     )
-    together = rest.join(first, "digest").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), sha)
+    together = salted_join(rest, first, ["digest"], ["row"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), sha)
     return alone.unionByName(together)
 
 

@@ -1,16 +1,19 @@
 """N-gram Jaccard join with set-relation skipping: exact components of all links at or above a threshold.
 
-Equal sets are one set. A set that shares most of its minhashes with another is compared with that set, its
-*centre*, and joins the centre's cluster if they are similar; clusters only steer the work, every link is
-verified, and none is lost:
-
-* index-level skipping: prefixes of the sets (rarest shingles first) form inverted lists whose entries are blocks,
-  one per token and cluster, holding the block's size range and earliest position. Two blocks are skipped
-  together when positions or sizes rule out the overlap that a link needs.
-* answer-level skipping: what is known of a centre bounds its members. Two clusters are opened only if the
-  distance of their centres, less the members' distances, leaves room for a link (Jaccard distance is a metric).
-  Inside a cluster, a set's overlaps with all others come from a similar set's by the shingles in which
-  the two differ; sets already linked to the centre are not compared with each other.
+Equal sets are one set. Most sets of a group of near copies share minhashes with the group's most central set; that
+is their *centre*. Each set is measured against its centre once, and what it lacks of the centre's shingles and has
+beyond them is kept. Centres only steer the work: every link is verified, and none is lost.
+
+* index-level skipping: prefixes of the sets (rarest shingles first) form inverted lists cut into blocks, one per
+  token and cluster, that hold the block's size range and earliest position. A set skips a block when position or
+  sizes rule out the overlap that a link needs; it meets the others' centres, never their members.
+* answer-level skipping: a set's overlap with all members of a cluster is derived from the centre's: two sets
+  share what the centre has, less what either lacks, and what both have beyond it. So members' texts never meet, and
+  only short lists of differing shingles are read. A set whose distance from the centre rules out every member
+  (Jaccard distance is a metric) stops there. Sets linked to the centre are not compared with each other.
+
+Of two clusters that meet, the smaller one's sets visit the larger, so a lone set meets a group of any size as one row.
+Inside a cluster, lists of differing shingles are compared in blocks of bounded size, each pair of blocks a group.
 
 Defined cases
     * null text, empty text and text without words: the empty set, which links with nothing and is its own component;
@@ -32,17 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navloom.llm.bloom import marked
-from navloom.llm.common import cut_lineage, fresh, written_once
+from navloom.llm.common import cut_lineage, fresh, heavy_keys, salted_join, written_once
 from navloom.llm.components import connected_components
-from navloom.llm.shingles import mix, overlap, shingle_sets
+from navloom.llm.shingles import mix, shared_with, shingle_sets
 
 MINHASHES = 8
 #: Shingles are counted in this many cells, whatever the corpus holds; the counts order the prefixes.
 COUNT_CELLS = 1 << 18
 #: Shingles of a set are counted by hash in so many cells of one byte; what two sets share is at most the sum of the lesser counts.
 PROFILE_CELLS = 128
-#: Shingles that one block of a cluster holds.
+#: Differing shingles that one block of a cluster holds.
 BLOCK_SHINGLES = 1_000_000
+#: A set joins the cluster of a centre that is at most this many per cent below the threshold.
+SLACK = 40
 
 _SEEDS = mix(np.arange(1, MINHASHES + 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -122,22 +127,34 @@ def prefixes(rows: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def nearest_centres(sets: DataFrame) -> DataFrame:
-    """(a, b): for a set ``a``, the set ``b`` with a smaller number that shares most of its minhashes, at least half of them."""
-    spread = sets.select("row", F.posexplode("least").alias("which", "value"))
-    heads = spread.groupBy("which", "value").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("sharing")).filter("sharing > 1").drop("sharing")
-    votes = spread.join(heads, ["which", "value"]).filter("head < row").groupBy("row", "head").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.filter(F.col("votes") * 2 >= MINHASHES).groupBy("row").agg(F.max(F.struct("votes", (-F.col("head")).alias("less"))).alias("best"))
-    return best.select(F.col("row").alias("a"), (-F.col("best.less")).alias("b"))
-
+    """(a, b): for a set ``a``, the set ``b`` that shares at least two, and most, of its minhashes among the central ones.
 
-def overlaps(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """Exact sizes and overlaps (a, b, na, nb, common) of pairs of rows. Only texts that occur in a pair are moved."""
-    pairs = cut_lineage(pairs.select("a", "b"))
+    A set is the more central the more sets share its minhashes; each minhash stands for the most central set that has it.
+    """
+    spread = sets.select("row", F.posexplode("least").alias("which", "value"))
+    sharing = cut_lineage(spread.groupBy("which", "value").agg(F.count(F.lit(1)).alias("sharing")).filter("sharing > 1"))
+    heavy = cut_lineage(heavy_keys(sharing, ["which", "value"], F.col("sharing")))
+    met = salted_join(spread, sharing, ["which", "value"], ["row"], heavy)
+    central = cut_lineage(met.groupBy("row").agg(F.sum("sharing").alias("sharing"), F.collect_list(F.struct("which", "value")).alias("least")))
+    spread = central.select("row", "sharing", F.explode("least").alias("at")).select("row", "sharing", "at.*")
+    heads = spread.groupBy("which", "value").agg(F.max(F.struct("sharing", (-F.col("row")).alias("less"))).alias("head"))
+    votes = salted_join(spread, heads, ["which", "value"], ["row"], heavy).filter("head.less <> -row").groupBy("row", "head").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.filter("votes > 1").groupBy("row").agg(F.max(F.struct("votes", "head")).alias("best"))
+    return best.select(F.col("row").alias("a"), (-F.col("best.head.less")).alias("b"))
+
+
+def differences(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of pairs (a, b, need, open): a, b, n (size of a), near (linked), far (Jaccard distance), lacks, differing, for those of at least ``need`` Jaccard.
+
+    ``differing`` lists the ``lacks`` shingles of b that a lacks, then those that a has beyond b; only where ``open``.
+    Only texts that occur in a pair are moved, and those of a set in many pairs are dealt over several tasks.
+    """
+    pairs = cut_lineage(pairs.select("a", "b", "need", "open"))
     keys = cut_lineage(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct())
     texts = marked(rows.select("row", "text"), "row", keys, "maybe").filter("maybe").drop("maybe")
-    # The texts meet the distinct keys first, so that what the pairs meet is exact and read once.
-    with_a = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
-    with_b = with_a.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    with_a = salted_join(pairs, texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), ["a"], ["b"])
+    with_b = salted_join(with_a, texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), ["b"], ["a"], cut_lineage(heavy_keys(pairs, ["b"])))
+    with_b = with_b.select("a", "b", "need", "open", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -156,79 +173,75 @@ def overlaps(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                na, nb, common = [], [], []
-                for x, y in zip(shingle_sets(part.column(2), words), of(b, part.column(3)), strict=True):
-                    na.append(len(x))
-                    nb.append(len(y))
-                    common.append(overlap(x, y) if len(x) <= len(y) else overlap(y, x))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(v, pa.int32()) for v in (na, nb, common))], ["a", "b", "na", "nb", "common"])
+                a, b, need, opened = (part.column(c).to_pylist() for c in range(4))
+                out: list[tuple] = []
+                for i, (x, y) in enumerate(zip(shingle_sets(part.column(4), words), of(b, part.column(5)), strict=True)):
+                    shared = shared_with(x, y)
+                    common = int(shared.sum())
+                    union = len(x) + len(y) - common
+                    if common < (need[i] - 1e-9) * union:
+                        continue
+                    lists = [y[~shared_with(y, x)], x[~shared]] if opened[i] else [x[:0]] * 2
+                    out.append((a[i], b[i], opened[i], len(x), 100 * common >= percent * union, 1 - common / union, len(lists[0]), _signed(np.concatenate(lists))))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out) if out else [()] * 8, _DIFFERENCE_TYPES, strict=True)], _DIFFERENCE_NAMES)
 
-    return with_b.mapInArrow(run, "a long, b long, na int, nb int, common int")
+    return with_b.mapInArrow(run, "a long, b long, open boolean, n int, near boolean, far double, lacks int, differing array<long>")
 
 
-def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the sets' sizes and profiles don't rule out. No text is read for it."""
-    for k in "ab":
-        pairs = pairs.join(sets.select(F.col("row").alias(k), F.col("n").alias(f"n_{k}"), F.col("profile").alias(f"profile_{k}")), k)
+_DIFFERENCE_NAMES = ["a", "b", "open", "n", "near", "far", "lacks", "differing"]
+_DIFFERENCE_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(), pa.float64(), pa.int32(), pa.list_(pa.int64())]
+
+
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, need, open) that the sets' sizes and profiles don't rule out. No text is read for it."""
+    pairs = cut_lineage(pairs.select("a", "b", "need", "open"))
+    columns = pairs.columns
+    for k, other in ("ab", "ba"):
+        pairs = salted_join(pairs, sets.select(F.col("row").alias(k), F.col("n").alias(f"n_{k}"), F.col("profile").alias(f"profile_{k}")), [k], [other])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = pc.and_(pc.is_valid(batch.column(4)), pc.is_valid(batch.column(5))).to_numpy(zero_copy_only=False)
-            size = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-            keep = ~known
+            known = pc.and_(pc.is_valid(batch.column(6)), pc.is_valid(batch.column(7))).to_numpy(zero_copy_only=False)
+            size = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
+            need, keep = batch.column(2).to_numpy(), ~known
             for at in np.array_split(np.flatnonzero(known), max(1, known.sum() // 4096)):
-                x, y = (np.frombuffer(b"".join(batch.column(c).take(pa.array(at)).to_pylist()), np.uint8).reshape(-1, PROFILE_CELLS) for c in (4, 5))
+                x, y = (np.frombuffer(b"".join(batch.column(c).take(pa.array(at)).to_pylist()), np.uint8).reshape(-1, PROFILE_CELLS) for c in (6, 7))
                 most = np.minimum(x, y).sum(1, dtype=np.int64)
-                keep[at] = 100 * most >= percent * (size[at] - most)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
-
-    return pairs.select("a", "b", "n_a", "n_b", "profile_a", "profile_b").mapInArrow(run, "a long, b long")
+                keep[at] = most >= (need[at] - 1e-9) * (size[at] - most)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], columns).filter(pa.array(keep))
 
+    return pairs.select(*columns, "n_a", "n_b", "profile_a", "profile_b").mapInArrow(run, "a long, b long, need double, open boolean")
 
-def _linked(percent: int, na: str = "na", nb: str = "nb", common: str = "common") -> str:
-    return f"100L * {common} >= {percent}L * ({na} + {nb} - {common})"
 
+def links_inside(visits: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join up the sets measured against each centre, beyond those to the centre itself.
 
-def links_inside(clusters: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that join up the members of each cluster, beyond those to its centre.
-
-    ``clusters`` has row, n, centre and near (linked to the centre). Clusters whose members are all near need
-    no work. Others are cut into blocks by size, and each pair of blocks is one group.
+    ``visits`` has a, b (the centre), n, near, lacks and differing. Centres whose sets are all near need no
+    work. Others are cut into blocks, and each pair of blocks is one group.
     """
-    members = clusters.filter("centre <> row")
-    loose = members.groupBy("centre").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"), F.count_if(~F.col("near")).alias("loose"))
-    loose = loose.filter("loose > 0 and members > 1").withColumn("blocks", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int")).select("centre", "blocks")
-    work = cut_lineage(members.join(loose, "centre").select("row", "centre", "near", "blocks", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block")))
-    texts = marked(rows.select("row", "text"), "row", work.select("row"), "maybe").filter("maybe").drop("maybe")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = work.join(texts, "row").select("row", "centre", "near", "text", "block", other)
-    placed = placed.select("row", "centre", "near", "text", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    loose = visits.groupBy("b").agg(F.sum(F.size("differing") + 1).alias("shingles"), F.count(F.lit(1)).alias("all"), F.count_if(~F.col("near")).alias("loose"))
+    loose = loose.filter("loose > 0 and all > 1").select("b", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    work = salted_join(visits, loose, ["b"], ["a"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    placed = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("a", "b", "n", "near", "lacks", "differing", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
-        ids, near, block = (group[c].to_numpy() for c in ("row", "near", "block"))
-        sets = list(shingle_sets(pa.array(group["text"], pa.string()), words))
+        ids, near, block, size, lacks = (group[c].to_numpy() for c in ("a", "near", "block", "n", "lacks"))
         across = group["left"].iloc[0] != group["right"].iloc[0]
-        pairs = list(_joining_links(sets, near, block if across else None, percent))
+        pairs = list(_joining_links(list(group["differing"]), lacks.astype(np.int64), size.astype(np.int64), near, block if across else None, percent))
         return pd.DataFrame({"a": ids[[x for x, _ in pairs]], "b": ids[[y for _, y in pairs]]}, dtype="int64")
 
-    return placed.groupBy("centre", "left", "right").applyInPandas(verify, "a long, b long")
+    return placed.groupBy("b", "left", "right").applyInPandas(verify, "a long, b long")
 
 
-def _joining_links(sets: list[np.ndarray], near: np.ndarray, block: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:
+def _joining_links(differing: list[np.ndarray], lacks: np.ndarray, size: np.ndarray, near: np.ndarray, block: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:
     """Verified links that connect all that is connected, given that all ``near`` sets already are.
 
-    Answers are derived from the first set's: two sets share what the first has, less the shingles either lacks
+    Answers are derived from the centre's: two sets share what the centre has, less the shingles either lacks
     (those that both lack counted once), and the further shingles that both have. So only lists of differing shingles are read.
     """
-    base, n = sets[0], len(sets)
-    size = np.array([len(s) for s in sets])
-    differing, lacks = [], np.zeros(n, np.int64)
-    for i, s in enumerate(sets):
-        lacking = base[~np.isin(base, s, assume_unique=True)]
-        more = s[~np.isin(s, base, assume_unique=True)]
-        lacks[i] = len(lacking)
-        differing.append(np.concatenate([lacking, more]))
+    n = len(size)
+    centre = int(size[0] + 2 * lacks[0] - len(differing[0]))
     tokens, at = np.unique(np.concatenate(differing), return_inverse=True)
     owner = np.repeat(np.arange(n), [len(d) for d in differing])
     by_token = owner[np.argsort(at, kind="stable")]
@@ -239,7 +252,7 @@ def _joining_links(sets: list[np.ndarray], near: np.ndarray, block: np.ndarray |
         own = at[ends[x] - len(differing[x]) : ends[x]]
         lists = [by_token[bounds[t] : bounds[t + 1]] for t in own if bounds[t + 1] - bounds[t] > 1]
         both = np.bincount(np.concatenate(lists), minlength=n) if lists else np.zeros(n, np.int64)
-        common = len(base) - lacks[x] - lacks + both
+        common = centre - lacks[x] - lacks + both
         hit = 100 * common >= percent * (size[x] + size - common)
         hit &= group != group[x]
         if block is not None:
@@ -250,53 +263,39 @@ def _joining_links(sets: list[np.ndarray], near: np.ndarray, block: np.ndarray |
             group[group == g] = group[x]
 
 
-def centre_pairs(tokens: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different clusters of which some members may link, from the inverted lists of prefixes."""
-    posted = tokens.select("row", "n", F.posexplode("tokens").alias("at", "token"))
-    shared = cut_lineage(posted.groupBy("token").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("token"))
-    posted = marked(posted, "token", shared, "maybe").filter("maybe").drop("maybe")
-    entries = posted.join(clusters.select("row", "centre"), "row")
-    blocks = entries.groupBy("token", "centre").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("left"))
-    blocks = cut_lineage(blocks)
-    several = blocks.groupBy("token").agg(F.min("centre").alias("c1"), F.max("centre").alias("c2")).filter("c1 < c2").select("token")
-    blocks = cut_lineage(blocks.join(several, "token"))
-    x, y = (blocks.select("token", *(F.col(c).alias(f"{p}{c}") for c in ("centre", "low", "high", "left"))) for p in "xy")
-    keep = f"""xcentre < ycentre
-        and 100L * xhigh >= {percent}L * ylow and 100L * yhigh >= {percent}L * xlow
-        and {100 + percent}L * least(xleft, yleft) >= {percent}L * (xlow + ylow)"""
-    return x.join(y, "token").filter(keep).groupBy(F.col("xcentre").alias("a"), F.col("ycentre").alias("b")).agg(F.count(F.lit(1)).alias("tokens")).select("a", "b")
+def visitors(tokens: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a set and the centre of another, larger cluster with members to which it may link, from the inverted lists of prefixes.
+
+    ``clusters`` has row, centre and members (how many sets the centre's cluster holds).
+    """
+    posted = cut_lineage(tokens.join(clusters, "row")).select("row", "n", "centre", "members", F.posexplode("tokens").alias("at", "token"))
+    several = cut_lineage(posted.groupBy("token").agg(F.min("centre").alias("low"), F.max("centre").alias("high")).filter("low < high").select("token"))
+    maybe = marked(posted, "token", several, "maybe").filter("maybe").drop("maybe")
+    entries = cut_lineage(salted_join(maybe, several, ["token"], ["row"]))
+    blocks = entries.groupBy("token", F.col("centre").alias("b"), F.col("members").alias("b_members")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("left"))
+    keep = f"""(b_members > members or b_members = members and b > centre)
+        and 100L * high >= {percent}L * n and 100L * n >= {percent}L * low
+        and {100 + percent}L * least(left, n - at) >= {percent}L * (low + n)"""
+    return salted_join(entries, blocks, ["token"], ["row"]).filter(keep).select(F.col("row").alias("a"), "b").distinct()
 
 
 def set_links(rows: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between the rows that stand for the distinct sets: enough to connect all that is connected."""
-    near = _linked(percent)
-    similar = _linked(percent - 30)
-    tried = cut_lineage(overlaps(nearest_centres(sets), rows, words))
-    joined = tried.filter(similar).select(F.col("a").alias("row"), F.col("b").alias("centre"), F.expr(near).alias("near"), F.expr("1 - common / (na + nb - common)").alias("far"))
-    clusters = sets.select("row", "n").join(joined, "row", "left").select(
-        "row", "n", F.coalesce("centre", "row").alias("centre"), F.coalesce("near", F.lit(True)).alias("near"), F.coalesce("far", F.lit(0.0)).alias("far")
-    )
-    clusters = cut_lineage(clusters)
-    links = tried.filter(near).select("a", "b").union(links_inside(clusters, rows, words, percent))
-    tokens = cut_lineage(prefixes(rows, words, percent))
-    # Pairs of lone sets need to link themselves; pairs of clusters are measured wherever their members might link.
-    met = centre_pairs(tokens, clusters, percent)
-    reach = cut_lineage(clusters.groupBy("centre").agg(F.max("far").alias("reach"), F.count_if(F.col("centre") != F.col("row")).alias("others")))
-    sides = [reach.select(F.col("centre").alias(k), F.col("reach").alias(f"reach_{k}"), F.col("others").alias(f"others_{k}")) for k in "ab"]
-    met = cut_lineage(met.join(sides[0], "a").join(sides[1], "b").select("a", "b", (F.col("others_a") + F.col("others_b") > 0).alias("clusters")))
-    alone = possible(met.filter("not clusters").select("a", "b"), sets, percent)
-    between = cut_lineage(overlaps(alone.union(met.filter("clusters").select("a", "b")), rows, words))
-    links = links.union(between.filter(near).select("a", "b"))
-    # Open two clusters where a link between members is still possible.
-    apart = between.withColumn("apart", F.expr("1 - common / (na + nb - common)"))
-    room = 1 - percent / 100 + 1e-9
-    opened = apart.join(sides[0], "a").join(sides[1], "b").filter(f"others_a + others_b > 0 and apart - reach_a - reach_b <= {room}").select("a", "b", "apart")
-    ends = [clusters.select(F.col("centre").alias(k), F.col("row").alias(f"row_{k}"), F.col("n").alias(f"n_{k}"), F.col("far").alias(f"far_{k}")) for k in "ab"]
-    members = opened.join(ends[0], "a").join(ends[1], "b").filter(
-        f"(row_a <> a or row_b <> b) and apart - far_a - far_b <= {room} and 100L * n_a >= {percent}L * n_b and 100L * n_b >= {percent}L * n_a"
-    )
-    last = overlaps(possible(members.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")), sets, percent), rows, words).filter(near)
-    return links.union(last.select("a", "b"))
+    similar = F.lit((percent - SLACK) / 100)
+    tried = nearest_centres(sets).select("a", "b", similar.alias("need"), F.lit(True).alias("open"))
+    home = cut_lineage(differences(possible(tried, sets), rows, words, percent))
+    reach = cut_lineage(home.groupBy(F.col("b").alias("centre")).agg(F.count(F.lit(1)).alias("members"), F.max("far").alias("reach")))
+    placed = home.select(F.col("a").alias("row"), F.col("b").alias("centre"))
+    # The others are centres themselves, most of them of none but themselves.
+    free = sets.select("row").join(placed, "row", "left_anti").join(reach.withColumnRenamed("centre", "row"), "row", "left").select("row", F.col("row").alias("centre"), F.coalesce("members", F.lit(0)).alias("members"))
+    clusters = cut_lineage(free.union(salted_join(placed, reach, ["centre"], ["row"]).select("row", "centre", "members")))
+    met = visitors(prefixes(rows, words, percent), clusters, percent)
+    # A visitor must be near enough to the centre for one of its members to be linked.
+    need = F.lit(percent / 100) - F.coalesce("reach", F.lit(0.0))
+    met = met.join(reach.withColumnRenamed("centre", "b"), "b", "left").select("a", "b", need.alias("need"), F.col("reach").isNotNull().alias("open"))
+    guests = cut_lineage(differences(possible(met, sets), rows, words, percent))
+    links = home.filter("near").select("a", "b").union(guests.filter("near").select("a", "b"))
+    return links.union(links_inside(home.union(guests.filter("open")), percent))
 
 
 def row_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,16 +307,17 @@ def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """``row_components`` of rows (row, doc_id, text) whose numbers are already fixed."""
     found = cut_lineage(sketches(rows, words))
     prints = ["print1", "print2", "n"]
-    first = found.filter("n > 0").groupBy(*prints).agg(F.min("row").alias("set_row"))
-    members = found.filter("n > 0").join(first, prints).select("row", "doc_id", "n", "set_row", *(F.when(F.col("row") == F.col("set_row"), F.col(c)).alias(c) for c in ("least", "profile")))
-    members = cut_lineage(members)
-    sets = members.filter("row = set_row").select("row", "n", "least", "profile")
-    components = connected_components(set_links(rows, sets, words, percent))
-    classes = members.join(components.select(F.col("node").alias("set_row"), "component"), "set_row", "left").withColumn("class_row", F.coalesce("component", "set_row"))
-    # The row that stands for a class has its smallest id; ids that are null count as the largest.
+    # The row that stands for a set, and for a class, has its smallest id; ids that are null count as the largest.
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    leaders = classes.groupBy("class_row").agg(F.min(key).alias("leader")).select("class_row", F.col("leader.doc_id").alias("component_id"), F.col("leader.row").alias("leader"))
-    some = classes.join(leaders, "class_row").select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("leader").alias("class_row"), "component_id")
+    sets = found.filter("n > 0").groupBy(*prints).agg(F.min(key).alias("leader"), F.any_value("least").alias("least"), F.any_value("profile").alias("profile"))
+    sets = cut_lineage(sets.select(F.col("leader.row").alias("row"), "leader", *prints, "least", "profile"))
+    components = connected_components(set_links(rows, sets.select("row", "n", "least", "profile"), words, percent))
+    classes = sets.select("row", "leader", *prints).join(components.withColumnRenamed("node", "row"), "row", "left").withColumn("class", F.coalesce("component", "row")).drop("component", "row")
+    classes = cut_lineage(classes)
+    leaders = classes.groupBy("class").agg(F.min("leader").alias("first"))
+    of_set = salted_join(classes, leaders, ["class"], ["print1"]).select(*prints, "first")
+    some = salted_join(found.filter("n > 0").select("row", "doc_id", *prints), of_set, prints, ["row"])
+    some = some.select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("first.row").alias("class_row"), F.col("first.doc_id").alias("component_id"))
     none = found.filter("n = 0").select("row", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("row").alias("class_row"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)
 

@@ -94,9 +94,10 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
         yield from _some_sets(part, words)
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    if not len(a) or not len(b):
-        return 0
+def shared_with(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which members of the set ``a`` the sorted set ``b`` holds."""
+    if not len(b):
+        return np.zeros(len(a), bool)
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
-    return int(np.count_nonzero(b[at] == a))
+    return b[at] == a

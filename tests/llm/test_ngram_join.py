@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from navloom.llm import ngram_join, shingles
+from navloom.llm import common, ngram_join, shingles
 
 
 def brute(texts, words, percent):
@@ -50,6 +50,42 @@ def test_components_match_brute_force(make_docs, words, size, percent):
     assert [got[i] for i in range(len(texts))] == brute(texts, size, percent)
 
 
+def classes_by_lists(texts, words, percent):
+    """Component of each text, comparing each with all that share a shingle, for groups too large for ``brute``."""
+    number, sets = {}, []
+    for t in texts:
+        w = t.split()
+        sets.append(np.array(sorted({number.setdefault(tuple(w[i : i + words]), len(number)) for i in range(len(w) - words + 1)})))
+    holders = [[] for _ in number]
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    holders, size, label = [np.array(h) for h in holders], np.array([len(s) for s in sets]), np.arange(len(sets))
+    for i, s in enumerate(sets):
+        common = np.bincount(np.concatenate([holders[x] for x in s]), minlength=len(sets))
+        met = np.unique(label[100 * common >= percent * (size[i] + size - common)])
+        label[np.isin(label, met)] = met[0]
+    return label.tolist()
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_large_group_of_near_copies(make_docs, words, size, percent, monkeypatch):
+    """Two groups that differ in a few places, cut into several blocks, with links between the groups."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 20_000)
+    monkeypatch.setattr(common, "ROWS_PER_SALT", 100)
+    r = random.Random(11)
+    base, texts = [r.choice(words) for _ in range(100)], []
+    for i in range(2000):
+        w = list(base)
+        for at in range(i % 3 * 4):
+            w[at * 12 + 5] = "other"
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(100)] = r.choice(words)
+        texts.append(" ".join(w))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicate_classes(make_docs(texts), size, percent).collect()}
+    assert [got[i] for i in range(len(texts))] == classes_by_lists(texts, size, percent)
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = "a b c d e f g h"
     docs = spark.createDataFrame([(None, text), (4, text), (4, text), (9, None)], "doc_id long, text string")
@@ -65,11 +101,12 @@ def test_empty_table(no_docs):
 
 def test_links_inside_a_cluster_connect_what_is_connected():
     r = np.random.default_rng(1)
-    base = np.sort(r.choice(10**6, 200, replace=False).astype(np.uint64))
-    sets = [np.unique(np.concatenate([r.choice(base, 200 - k, replace=False), r.integers(10**6, 10**9, k, dtype=np.uint64)])) for k in r.integers(0, 25, 60)]
-    near = np.zeros(60, bool)
+    base = np.sort(r.choice(10**6, 200, replace=False))
+    sets = [np.unique(np.concatenate([r.choice(base, 200 - k, replace=False), r.integers(10**6, 10**9, k)])) for k in r.integers(0, 25, 60)]
+    near, lacking = np.zeros(60, bool), [np.setdiff1d(base, s) for s in sets]
+    differing = [np.concatenate([no, np.setdiff1d(s, base)]) for no, s in zip(lacking, sets, strict=True)]
     want = {(i, j) for i in range(60) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))}
-    got = list(ngram_join._joining_links(sets, near, None, 90))
+    got = list(ngram_join._joining_links(differing, np.array([len(x) for x in lacking]), np.array([len(s) for s in sets]), near, None, 90))
     assert {(max(p), min(p)) for p in got} <= want
 
     def classes(links):
