@@ -14,6 +14,10 @@ OPENING, CLOSING = ("PURCHASE", "SIP"), ("REDEMPTION",)
 # Days after which a gain is long-term, days in a year, tolerances of the reconciliation.
 LONG_TERM_DAYS = 365
 UNIT_TOLERANCE, VALUE_TOLERANCE = 0.001, 0.005
+# How long after a transaction it may be reversed, and rupees by which a switch's legs may differ.
+REVERSAL_DAYS, SWITCH_TOLERANCE = 30, 1.0
+#: Units and money compare exactly at these places.
+UNITS_TYPE, MONEY_TYPE = "decimal(20,6)", "decimal(20,4)"
 
 
 def cents(c: Column, scale: float = 1e4) -> Column:
@@ -38,42 +42,81 @@ def with_ids(txns: DataFrame) -> DataFrame:
     return txns.withColumn("txn_id", F.sha2(F.concat_ws("|", *fields), 256))
 
 
-def link_reversals(txns: DataFrame, days: int = 30) -> DataFrame:
-    """Each reversal with the latest earlier transaction of its book, same size, at most ``days`` before; a transaction is taken back once.
+def link_reversals(txns: DataFrame, days: int = REVERSAL_DAYS) -> DataFrame:
+    """Per reversal: reversal_ref and the txn_ref that it takes back, null for an orphan.
 
-    Candidates of equal size only: the k-th reversal meets the k-th candidate before it, counted from the latest.
+    Reversals come in the order of date and reference. Each takes the latest transaction of its book that has the
+    opposite units, is at most ``days`` older and was not taken back before. One group is one book and size of units.
+    Reversals without units are orphans; so are those of a book without an account or scheme of their own.
     """
-    size = F.abs("amount")
-    kinds = txns.withColumn("size", size)
-    order = Window.partitionBy(*BOOK, "size").orderBy("txn_date", "txn_ref").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("txn_type") != "REVERSAL", F.struct("txn_ref", "txn_date")), ignorenulls=True).over(order)
-    found = kinds.withColumn("last", last).filter("txn_type = 'REVERSAL'")
-    near = found.filter(F.datediff("txn_date", "last.txn_date") <= days).select(F.col("txn_ref").alias("reversal_ref"), F.col("last.txn_ref").alias("txn_ref"))
-    return near.groupBy("txn_ref").agg(F.min("reversal_ref").alias("reversal_ref"))
+    units = F.col("units").cast(UNITS_TYPE)
+    rows = txns.withColumn("size", F.when(F.col("txn_type") == "REVERSAL", -units).otherwise(units))
+    order = ["txn_date", "txn_seq", "txn_ref"] if "txn_seq" in txns.columns else ["txn_date", "txn_ref"]
+    rows = rows.select(*BOOK, "size", (F.col("txn_type") == "REVERSAL").alias("reversal"), F.to_date("txn_date").alias("day"), F.struct(*order).alias("place"), "txn_ref")
+    # Sizes without a reversal have nothing to link.
+    wanted = rows.filter("reversal").select(*BOOK, "size").distinct()
+    work = rows.join(wanted, [*BOOK, "size"], "left_semi").withColumn("place", F.row_number().over(Window.partitionBy(*BOOK, "size").orderBy("day", "reversal", "place")))
 
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        open_refs, out = [], []
+        for reversal, day, ref in group.sort_values("place")[["reversal", "day", "txn_ref"]].itertuples(index=False):
+            if not reversal:
+                open_refs.append((day, ref))
+            elif open_refs and (day - open_refs[-1][0]).days <= days:
+                out.append((ref, open_refs.pop()[1]))
+            else:
+                out.append((ref, None))
+        return pd.DataFrame(out, columns=["reversal_ref", "txn_ref"])
 
-def link_switches(txns: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """Pairs of switch-out and switch-in of one folio and day: each out, in the order of reference, takes the first in that is still free and within ``tolerance``."""
+    kind = txns.schema["txn_ref"].dataType.simpleString()
+    linked = work.groupBy(*BOOK, "size").applyInPandas(link, f"reversal_ref {kind}, txn_ref {kind}")
+    lone = rows.filter("reversal and size is null").select(F.col("txn_ref").alias("reversal_ref"), F.lit(None).cast(kind).alias("txn_ref"))
+    return linked.union(lone)
+
+
+def charge(txns: DataFrame, name: str) -> Column:
+    """A charge of a transaction; 0 where it has none or the table doesn't list that charge."""
+    return F.coalesce(F.col(name), F.lit(0)) if name in txns.columns else F.lit(0)
+
+
+def switch_proceeds(txns: DataFrame) -> Column:
+    """What a leg out sends on: its amount less exit load and transaction tax."""
+    return F.abs("amount") - charge(txns, "exit_load") - charge(txns, "stt")
+
+
+def switch_consideration(txns: DataFrame) -> Column:
+    """What a leg in received: its amount and the stamp duty taken from it."""
+    return F.abs("amount") + charge(txns, "stamp_duty")
+
+
+def link_switches(txns: DataFrame, tolerance: float = SWITCH_TOLERANCE) -> DataFrame:
+    """Per leg out of a switch or transfer plan: out_ref and the in_ref of its other leg, null where none is left (an unlinked switch).
+
+    Legs out of a folio and day come in the order of reference. Each takes the first leg in that is still free and
+    received what the leg out sent, within ``tolerance``. One group is one folio and day.
+    """
     day = ["user_id", "folio", "txn_date"]
-    legs = txns.filter(F.col("txn_type").isin("SWITCH_OUT", "SWITCH_IN") & F.col("amount").isNotNull())
-    legs = legs.select(*day, "txn_ref", (F.col("txn_type") == "SWITCH_OUT").alias("out"), F.abs("amount").cast("double").alias("size"))
+    out = F.col("txn_type").isin("SWITCH_OUT", "STP_OUT")
+    legs = txns.filter(F.col("txn_type").isin("SWITCH_OUT", "STP_OUT", "SWITCH_IN", "STP_IN"))
+    money = F.round(F.when(out, switch_proceeds(txns)).otherwise(switch_consideration(txns)).cast(MONEY_TYPE) * 10_000, 0).cast("long")
+    legs = legs.select(*day, "txn_ref", out.alias("out"), money.alias("money"))
 
     def pair(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("txn_ref")
-        outs, ins = group[group["out"]], group[~group["out"]]
-        sizes, refs, found = ins["size"].to_numpy(), ins["txn_ref"].to_numpy(), []
-        free = np.ones(len(ins), bool)
-        for ref, size in zip(outs["txn_ref"], outs["size"], strict=True):
-            # Rounded, so that a difference of exactly the tolerance counts.
-            near = np.flatnonzero(free & (np.round(np.abs(sizes - size), 6) <= tolerance))
+        outs, ins = group[group["out"]], group[~group["out"] & group["money"].notna()]
+        received, refs, found = ins["money"].to_numpy(), ins["txn_ref"].to_numpy(), []
+        free, room = np.ones(len(ins), bool), round(tolerance * 10_000)
+        for ref, sent in zip(outs["txn_ref"], outs["money"], strict=True):
+            near = np.flatnonzero(free & (np.abs(received - sent) <= room)) if sent == sent else []
             if len(near):
                 free[near[0]] = False
-                found.append((ref, refs[near[0]]))
-        out = group.iloc[[0] * len(found)][day].reset_index(drop=True)
-        return out.assign(out_ref=[a for a, _ in found], in_ref=[b for _, b in found])
+            found.append((ref, refs[near[0]] if len(near) else None))
+        head = group.iloc[[0] * len(found)][day].reset_index(drop=True)
+        return head.assign(out_ref=[a for a, _ in found], in_ref=pd.array([b for _, b in found], dtype="Int64" if group["txn_ref"].dtype.kind == "i" else object))
 
     kind = {f.name: f.dataType.simpleString() for f in legs.schema}
-    return legs.groupBy(*day).applyInPandas(pair, ", ".join([*(f"{c} {kind[c]}" for c in day), f"out_ref {kind['txn_ref']}", f"in_ref {kind['txn_ref']}"]))
+    schema = ", ".join(f"{c} {kind[c]}" for c in day) + f", out_ref {kind['txn_ref']}, in_ref {kind['txn_ref']}"
+    return legs.groupBy(*day).applyInPandas(pair, schema)
 
 
 def signed_units(types: Column, units: Column) -> Column:

@@ -116,9 +116,9 @@ def lorenz_curve(exposed: DataFrame, scope: str = "all") -> DataFrame:
 
 
 def overlap_pairs(weights: DataFrame, values: DataFrame | None = None) -> DataFrame:
-    """All pairs of funds with weights: shared weight, equity-only shared weight, common and union counts, Jaccard, shared rupees.
+    """Pairs of funds that share an issuer: shared weight, equity-only shared weight, common and union counts, Jaccard, shared rupees.
 
-    Only pairs that share an issuer are ever joined; the others follow from the fund list, with overlap 0.
+    All other pairs overlap by 0 and are not listed; ``with_zeros`` adds those of a stated list of pairs.
     """
     real = weights.filter(~F.col("is_synthetic"))
     funds = real.groupBy("scheme_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("instrument_class") == "equity", F.col("weight")).otherwise(0.0)).alias("equity"))
@@ -138,16 +138,20 @@ def overlap_pairs(weights: DataFrame, values: DataFrame | None = None) -> DataFr
         F.sum(F.least(F.col("a_weight") * F.col("a_value_inr"), F.col("b_weight") * F.col("b_value_inr")) / 100.0).alias("overlap_inr"),
         F.count(F.lit(1)).alias("common"),
     )
-    left, right = (sized.select(F.col("scheme_id").alias(f"{p}_scheme_id"), F.col("n").alias(f"{p}_n")) for p in "ab")
-    pairs = left.join(right, F.col("a_scheme_id") < F.col("b_scheme_id"))
-    filled = pairs.join(shared, ["a_scheme_id", "b_scheme_id"], "left").fillna(0)
+    for p in "ab":
+        shared = shared.join(sized.select(F.col("scheme_id").alias(f"{p}_scheme_id"), F.col("n").alias(f"{p}_n")), f"{p}_scheme_id")
     union = F.col("a_n") + F.col("b_n") - F.col("common")
-    return filled.select(
+    return shared.select(
         F.col("a_scheme_id").alias("scheme_a"), F.col("b_scheme_id").alias("scheme_b"), "overlap_pct", "equity_overlap_pct", "overlap_inr", "common",
         union.alias("union_issuers"), (F.col("common") / union).alias("jaccard"),
     )
 
 
+def with_zeros(pairs: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """The stated pairs (scheme_a, scheme_b) with their overlaps, 0 where they share no issuer."""
+    return pairs.join(overlaps, ["scheme_a", "scheme_b"], "left").fillna(0, [c for c in overlaps.columns if c not in ("scheme_a", "scheme_b")])
+
+
 def duplication(contributed: DataFrame) -> DataFrame:
     """Per user: rupees that reach an issuer through more than one fund, beyond the fund that brings most."""
     real = contributed.filter(~F.col("is_synthetic"))
@@ -162,33 +166,38 @@ def duplication(contributed: DataFrame) -> DataFrame:
 def marginal(contributed: DataFrame) -> DataFrame:
     """Per user and held fund: what leaving it out would change, all funds in one job.
 
-    An issuer's remaining exposure is its whole less the fund's own part, so no portfolio is built twice.
+    An issuer's remaining exposure is its whole less the fund's own part, so no portfolio is built twice. A fund has one
+    row for an issuer, so one window and one aggregation are enough; a portfolio's sums follow from its funds' sums.
     """
-    issuers = contributed.filter(~F.col("is_synthetic")).groupBy("user_id", "issuer_id", "instrument_class", "scheme_id").agg(F.sum("contribution_inr").alias("own"))
     per_issuer = Window.partitionBy("user_id", "issuer_id", "instrument_class")
-    parts = issuers.withColumn("all", F.sum("own").over(per_issuer)).withColumn("funds", F.count(F.lit(1)).over(per_issuer))
+    own, whole = F.col("contribution_inr"), F.col("all")
+    parts = contributed.filter(~F.col("is_synthetic")).select("user_id", "scheme_id", "instrument_class", "contribution_inr", F.sum("contribution_inr").over(per_issuer).alias("all"), F.count(F.lit(1)).over(per_issuer).alias("funds"))
     equity = F.col("instrument_class") == "equity"
-    whole = issuers.filter(equity).groupBy("user_id", "issuer_id").agg(F.sum("own").alias("x")).groupBy("user_id").agg(F.sum("x").alias("sum_x"), F.sum(F.col("x") * F.col("x")).alias("sum_xx"))
-    rest = F.col("all") - F.col("own")
     funds = parts.groupBy("user_id", "scheme_id").agg(
         F.count_if(F.col("funds") == 1).alias("new_issuers"),
-        F.sum(F.when(F.col("funds") == 1, F.col("own")).otherwise(0.0)).alias("new_exposure_inr"),
-        F.sum(F.when(equity, F.col("own")).otherwise(0.0)).alias("less_x"),
-        F.sum(F.when(equity, F.col("all") * F.col("all") - rest * rest).otherwise(0.0)).alias("less_xx"),
+        F.sum(F.when(F.col("funds") == 1, own).otherwise(0.0)).alias("new_exposure_inr"),
+        F.sum(F.when(equity, own).otherwise(0.0)).alias("less_x"),
+        F.sum(F.when(equity, whole * whole - (whole - own) * (whole - own)).otherwise(0.0)).alias("less_xx"),
+        F.sum(F.when(equity, own * whole).otherwise(0.0)).alias("part_xx"),
+        F.count_if(equity).alias("n_equity"),
     )
-    joined = funds.join(whole, "user_id")
+    user = Window.partitionBy("user_id")
+    funds = funds.select("*", F.sum("less_x").over(user).alias("sum_x"), F.sum("part_xx").over(user).alias("sum_xx"), F.sum("n_equity").over(user).alias("all_equity")).filter("all_equity > 0")
     with_it = F.col("sum_xx") / (F.col("sum_x") * F.col("sum_x"))
     left_x, left_xx = F.col("sum_x") - F.col("less_x"), F.col("sum_xx") - F.col("less_xx")
     without = F.when(left_x > 0.005, left_xx / (left_x * left_x))
-    return joined.select("user_id", "scheme_id", "new_issuers", "new_exposure_inr", (with_it - without).alias("hhi_delta"), (1 / with_it - 1 / without).alias("effective_n_delta"))
+    return funds.select("user_id", "scheme_id", "new_issuers", "new_exposure_inr", (with_it - without).alias("hhi_delta"), (1 / with_it - 1 / without).alias("effective_n_delta"))
 
 
 def size_buckets(issuers: DataFrame, large: int = 100, mid: int = 250) -> DataFrame:
-    """Rank by market value, ties by id: large, mid, small; issuers without a value are unranked."""
-    # One row per issuer of the market list, which is small by nature.
-    rank = F.row_number().over(Window.partitionBy(F.col("market_cap").isNull()).orderBy(F.desc("market_cap"), "issuer_id"))
-    bucket = F.when(F.col("market_cap").isNull(), "unranked").when(rank <= large, "large").when(rank <= mid, "mid").otherwise("small")
-    return issuers.withColumn("bucket", bucket)
+    """Rank by market value, ties by id: large, mid, small; issuers without a value are unranked.
+
+    Only the first ``mid`` are ranked, which a distributed top-k finds; all further ones are small.
+    """
+    first = issuers.filter("market_cap is not null").select("issuer_id", "market_cap").orderBy(F.desc("market_cap"), "issuer_id").limit(mid)
+    ranked = first.select("issuer_id", F.row_number().over(Window.orderBy(F.desc("market_cap"), "issuer_id")).alias("rank"))
+    bucket = F.when(F.col("market_cap").isNull(), "unranked").when(F.col("rank") <= large, "large").when(F.col("rank") <= mid, "mid").otherwise("small")
+    return issuers.join(F.broadcast(ranked), "issuer_id", "left").withColumn("bucket", bucket).drop("rank")
 
 
 def size_tilts(exposed: DataFrame, buckets: DataFrame) -> DataFrame:

@@ -161,20 +161,39 @@ def nav_cross_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _switching(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("txn_type") == "PURCHASE", "SWITCH_IN").when(F.col("txn_type") == "REDEMPTION", "SWITCH_OUT").otherwise(F.col("txn_type"))
-    return _all(spark, d).withColumn("txn_type", kind)
-
-
-@C.query(_T + """, w AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id, folio, txn_date, txn_type ORDER BY ABS(amount), txn_ref) AS rk FROM t WHERE txn_type IN ('PURCHASE', 'REDEMPTION'))
-SELECT o.user_id, o.folio, o.txn_date, o.txn_ref AS out_ref, i.txn_ref AS in_ref FROM w o JOIN w i ON o.user_id = i.user_id AND o.folio = i.folio AND o.txn_date = i.txn_date AND o.rk = i.rk
-WHERE o.txn_type = 'REDEMPTION' AND i.txn_type = 'PURCHASE' AND ABS(ABS(o.amount) - ABS(i.amount)) <= 25""")
+    """Purchases and redemptions read as legs of switches, with charges by reference."""
+    kind = F.when(F.col("txn_type") == "PURCHASE", F.when(F.col("txn_ref") % 5 == 0, "STP_IN").otherwise("SWITCH_IN")).when(F.col("txn_type") == "REDEMPTION", F.when(F.col("txn_ref") % 7 == 0, "STP_OUT").otherwise("SWITCH_OUT")).otherwise(F.col("txn_type"))
+    charge = lambda n, step: (F.col("txn_ref") % n * step).cast("decimal(10,2)")
+    return _all(spark, d).select("*", charge(3, 0.25).alias("exit_load"), charge(2, 0.1).alias("stt"), charge(4, 0.05).alias("stamp_duty")).withColumn("txn_type", kind)
+
+
+@C.query(_T.replace("WITH", "WITH RECURSIVE", 1) + """, g AS (
+  SELECT user_id, folio, txn_date, txn_ref, txn_type = 'REDEMPTION' AS o,
+         CAST(ROUND(ABS(amount) * 10000) AS BIGINT) + CASE WHEN txn_type = 'REDEMPTION' THEN -(txn_ref % 3 * 2500 + txn_ref % 2 * 1000) ELSE txn_ref % 4 * 500 END AS money
+  FROM t WHERE txn_type IN ('PURCHASE', 'REDEMPTION')),
+n AS (SELECT user_id, folio, txn_date, list(struct_pack(ref := txn_ref, m := money) ORDER BY txn_ref) AS legs FROM g WHERE NOT o GROUP BY ALL),
+j AS (SELECT g.*, legs, ROW_NUMBER() OVER (PARTITION BY user_id, folio, txn_date ORDER BY txn_ref) AS rn FROM g LEFT JOIN n USING (user_id, folio, txn_date) WHERE o),
+w AS (
+  SELECT DISTINCT user_id, folio, txn_date, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS out_ref, CAST(NULL AS BIGINT) AS in_ref FROM j
+  UNION ALL
+  SELECT user_id, folio, txn_date, rn, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, txn_ref, pick
+  FROM (SELECT j.*, w.taken, list_filter(j.legs, lambda x: NOT list_contains(w.taken, x.ref) AND ABS(x.m - j.money) <= 10000)[1].ref AS pick
+        FROM w JOIN j ON w.user_id = j.user_id AND w.folio = j.folio AND w.txn_date = j.txn_date AND j.rn = w.rn + 1))
+SELECT user_id, folio, txn_date, out_ref, in_ref FROM w WHERE rn > 0""")
 def link_switches(spark: SparkSession, d: str) -> DataFrame:
-    # The SQL beside still pairs by rank of size, up to 25 apart.
     return L.link_switches(_switching(spark, d))
 
 
-@C.query(_T + """, w AS (SELECT *, FLOOR(ABS(amount)) AS size FROM t), r AS (SELECT w.*, c.txn_ref AS cref, c.txn_date AS cdate FROM w LEFT JOIN LATERAL (
-  SELECT txn_ref, txn_date FROM w c WHERE c.user_id = w.user_id AND c.folio = w.folio AND c.scheme_id = w.scheme_id AND c.size = w.size AND c.txn_type <> 'REVERSAL' AND (c.txn_date < w.txn_date OR c.txn_date = w.txn_date AND c.txn_ref < w.txn_ref) ORDER BY c.txn_date DESC, c.txn_ref DESC LIMIT 1) c ON TRUE WHERE w.txn_type = 'REVERSAL')
-SELECT cref AS txn_ref, MIN(txn_ref) AS reversal_ref FROM r WHERE cref IS NOT NULL AND txn_date - cdate <= 30 GROUP BY 1""")
+@C.query(_T.replace("WITH", "WITH RECURSIVE", 1) + """, z AS (
+  SELECT *, CAST(user_id AS VARCHAR) || '/' || folio || '/' || scheme_id || '/' || CAST(FLOOR(units) AS BIGINT) AS g, txn_type = 'REVERSAL' AS rev FROM t),
+v AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY g ORDER BY txn_date, rev, txn_ref) AS rn FROM z WHERE g IN (SELECT g FROM z WHERE rev)),
+w AS (
+  SELECT DISTINCT g, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(ref BIGINT, d DATE)[]) AS stack, CAST(NULL AS BIGINT) AS reversal_ref, CAST(NULL AS BIGINT) AS txn_ref FROM v
+  UNION ALL
+  SELECT g, rn, CASE WHEN NOT rev THEN list_append(stack, struct_pack(ref := txn_ref, d := txn_date)) WHEN hit THEN stack[1:len(stack) - 1] ELSE stack END,
+         CASE WHEN rev THEN txn_ref END, CASE WHEN rev AND hit THEN stack[len(stack)].ref END
+  FROM (SELECT v.*, w.stack, len(w.stack) > 0 AND v.txn_date - w.stack[len(w.stack)].d <= 30 AS hit FROM w JOIN v ON w.g = v.g AND v.rn = w.rn + 1))
+SELECT reversal_ref, txn_ref FROM w WHERE reversal_ref IS NOT NULL""")
 def link_reversals(spark: SparkSession, d: str) -> DataFrame:
-    return L.link_reversals(_all(spark, d).withColumn("amount", F.floor(F.abs("amount"))))
+    units = F.floor("units").cast("decimal(18,3)")
+    return L.link_reversals(_all(spark, d).withColumn("units", F.when(F.col("txn_type") == "REVERSAL", -units).otherwise(units)))

@@ -107,9 +107,9 @@ s AS (SELECT a.scheme_id AS sa, b.scheme_id AS sb, SUM(LEAST(a.weight, b.weight)
         SUM(CASE WHEN a.instrument_class = 'equity' THEN LEAST(a.weight / a.eq, b.weight / b.eq) * 1e2 ELSE 0 END) AS q,
         SUM(LEAST(a.weight * a.value_inr, b.weight * b.value_inr) / 1e2) AS i, COUNT(*) AS k
       FROM m a JOIN m b ON a.issuer_id = b.issuer_id AND a.scheme_id < b.scheme_id GROUP BY 1, 2)
-SELECT x.scheme_id AS scheme_a, y.scheme_id AS scheme_b, ROUND(COALESCE(o, 0), 6) AS overlap_pct, ROUND(COALESCE(q, 0), 6) AS equity_overlap_pct, ROUND(COALESCE(i, 0), 2) AS overlap_inr,
-       COALESCE(k, 0) AS common, x.n + y.n - COALESCE(k, 0) AS union_issuers, ROUND(COALESCE(k, 0) / (x.n + y.n - COALESCE(k, 0)), 9) AS jaccard
-FROM g x JOIN g y ON x.scheme_id < y.scheme_id LEFT JOIN s ON s.sa = x.scheme_id AND s.sb = y.scheme_id""")
+SELECT x.scheme_id AS scheme_a, y.scheme_id AS scheme_b, ROUND(o, 6) AS overlap_pct, ROUND(q, 6) AS equity_overlap_pct, ROUND(i, 2) AS overlap_inr,
+       k AS common, x.n + y.n - k AS union_issuers, ROUND(k / (x.n + y.n - k), 9) AS jaccard
+FROM g x JOIN g y ON x.scheme_id < y.scheme_id JOIN s ON s.sa = x.scheme_id AND s.sb = y.scheme_id""")
 def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     values = view(spark, d, "position").groupBy("scheme_id").agg(F.sum("value_inr").alias("value_inr"))
     return rounded(L.overlap_pairs(view(spark, d, "weight"), values), overlap_pct=6, equity_overlap_pct=6, overlap_inr=2, jaccard=9)

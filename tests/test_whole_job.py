@@ -79,4 +79,29 @@ def test_switches_with_unpaired_legs(spark):
                 taken.add(i[3])
                 want.add((o[3], i[3]))
                 break
+        else:
+            want.add((o[3], None))
     assert got == want and {(2, 4), (3, 5)} <= got
+
+
+def test_charges_stand_between_the_legs_of_a_switch(spark):
+    day = dt.date(2024, 1, 2)
+    rows = [(1, "f", day, 1, "STP_OUT", 1000.0, 10.0, 1.0, None), (1, "f", day, 2, "STP_IN", 988.5, None, None, 0.5), (1, "f", day, 3, "SWITCH_IN", 1000.0, None, None, 0.0), (1, "f", day, 4, "SWITCH_OUT", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "user_id int, folio string, txn_date date, txn_ref int, txn_type string, amount double, exit_load double, stt double, stamp_duty double")
+    assert sorted(tuple(x)[3:] for x in ledger.link_switches(docs).collect()) == [(1, 2), (4, None)]
+
+
+def test_each_reversal_takes_the_latest_that_is_left(spark):
+    r = random.Random(5)
+    rows = [(1, "f", 9, dt.date(2024, 1, 1), 1, "SIP", 5.0), (1, "f", 9, dt.date(2024, 1, 1), 2, "SIP", 5.0), (1, "f", 9, dt.date(2024, 1, 3), 3, "REVERSAL", -5.0), (1, "f", 9, dt.date(2024, 1, 3), 4, "REVERSAL", -5.0), (1, "f", 9, dt.date(2024, 1, 3), 5, "REVERSAL", None)]
+    rows += [(2, r.choice("gh"), 9, dt.date(2024, 1, 1) + dt.timedelta(r.randint(0, 120)), 100 + i, r.choice(["SIP", "SIP", "REVERSAL"]), 0.0) for i in range(200)]
+    rows = [(*x[:6], (-1 if x[5] == "REVERSAL" else 1) * float(r.randint(1, 3))) if x[6] == 0.0 else x for x in rows]
+    schema = "user_id int, folio string, scheme_id int, txn_date date, txn_ref int, txn_type string, units double"
+    got = {x.reversal_ref: x.txn_ref for x in ledger.link_reversals(spark.createDataFrame(rows, schema)).collect()}
+    want, claimed = {}, set()
+    for v in sorted((x for x in rows if x[5] == "REVERSAL"), key=lambda x: (x[3], x[4])):
+        fits = [x for x in rows if x[5] != "REVERSAL" and x[4] not in claimed and x[:3] == v[:3] and v[6] is not None and 0 <= (v[3] - x[3]).days <= 30 and abs(x[6] + v[6]) < 1e-6]
+        best = max(fits, key=lambda x: (x[3], x[4]), default=None)
+        want[v[4]] = best and best[4]
+        claimed |= {best[4]} if best else set()
+    assert got == want and {got[3], got[4], got[5]} == {1, 2, None}
