@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from navloom.llm.common import small_batches
 from navloom.llm.vocab import Remembered, Vocabulary, chunks, load, spell
 
 #: Pairs of pieces whose compatibility a task remembers at most; the memory is emptied when full.
@@ -138,6 +139,7 @@ class ChunkCodes(Remembered):
         self.forget()
         self.codes.forget()
         self.codes.encoder.compatible.clear()
+        pa.default_memory_pool().release_unused()
 
     def encode(self, text: str | None) -> bytes:
         return b"".join([self[c] for c in chunks(text)]) if text else b""
@@ -182,6 +184,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"][: len(columns)])
         codes.forget_all()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary"
     return rows.mapInArrow(run, schema + (", decoded string" if decoded else ""))

@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from navloom.llm.common import small_batches
+
 TURN, SAY, END = "<turn>", "<say>", "</turn>"
 PIECE_CHARS = 1 << 18
 PIECES_AT_ONCE = 64
@@ -135,6 +137,7 @@ def format_conversations(rows: DataFrame, tokenizer_path: str, loss_role: str =
         if done:
             yield _encoded(done, conv_type, tokenizer_path)
 
+    small_batches(rows.sparkSession)
     clean = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ranged = clean.repartitionByRange("conv_id", "turn", "role").sortWithinPartitions("conv_id", "turn", "role", "text")
     kind = clean.schema["conv_id"].dataType.simpleString()

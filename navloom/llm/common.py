@@ -6,13 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space and words as all operators here read them (ASCII classes only).
 SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 #: As many keys of a join get salts; their table is broadcast.
 HEAVY_KEYS = 1000
 #: Rows of a heavy key that share a salt.
@@ -42,6 +45,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts reach Python ``BATCH_ROWS`` at a time, unless the session has a number of its own.
+
+    Spark's default of 10,000 rows makes batches of many MB, on both sides, where texts are long.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, for a table that outlives one query plan."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -54,28 +67,32 @@ def written_once(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], count: Column | None = None) -> DataFrame:
-    """``keys`` and ``salts`` of the keys with more than ``ROWS_PER_SALT`` rows, the ``HEAVY_KEYS`` heaviest: a table of bounded size.
+def heavy_keys(df: DataFrame, keys: Sequence[str], count: Column | None = None) -> list[Row]:
+    """``keys`` and ``salts`` of the keys with more than ``ROWS_PER_SALT`` rows: a list of the ``HEAVY_KEYS`` heaviest at most.
 
-    No key beyond these holds more than one row in ``HEAVY_KEYS``. The order is total, so a plan computed again finds the same keys.
-    ``count`` names the number of rows where ``df`` already has one row for each key.
+    No other key holds more than one row in ``HEAVY_KEYS``. ``count`` names the number of rows where ``df`` already
+    has one row for each key. ``df`` is read for it, so it should be a written table.
     """
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("salts")) if count is None else df.select(*keys, count.alias("salts"))
     top = counted.filter(F.col("salts") > ROWS_PER_SALT).orderBy(F.desc("salts"), *keys).limit(HEAVY_KEYS)
-    return top.withColumn("salts", F.ceil(F.col("salts") / ROWS_PER_SALT).cast("int"))
+    return top.withColumn("salts", F.ceil(F.col("salts") / ROWS_PER_SALT).cast("int")).collect()
 
 
-def salted_join(big: DataFrame, side: DataFrame, keys: Sequence[str], spread: Sequence[str], heavy: DataFrame | None = None) -> DataFrame:
+def salted_join(big: DataFrame, side: DataFrame, keys: Sequence[str], spread: Sequence[str], heavy: list[Row] | None = None) -> DataFrame:
     """Inner join of ``big`` and ``side`` on ``keys`` in which no heavy key of ``big`` meets in one task.
 
-    Rows of a heavy key are dealt over its salts by the columns ``spread``, and the rows of ``side`` are repeated for each salt.
+    Rows of a heavy key are dealt over its salts by the columns ``spread``, and the rows of ``side`` are repeated for
+    each salt. Without heavy keys it is a plain join.
     """
     heavy = heavy_keys(big, keys) if heavy is None else heavy
+    if not heavy:
+        return big.join(side, [*keys])
     salt, salts = fresh_names([*big.columns, *side.columns], "salt", "salts")
-    heavy = F.broadcast(heavy.withColumnRenamed("salts", salts))
+    schema = T.StructType([*(T.StructField(k, big.schema[k].dataType) for k in keys), T.StructField(salts, T.IntegerType())])
+    table = F.broadcast(big.sparkSession.createDataFrame([tuple(r) for r in heavy], schema))
     number = F.coalesce(F.col(salts), F.lit(1))
-    left = big.join(heavy, [*keys], "left").withColumn(salt, F.pmod(F.xxhash64(*spread), number).cast("int")).drop(salts)
-    right = side.join(heavy, [*keys], "left").withColumn(salt, F.explode(F.sequence(F.lit(0), number - 1))).drop(salts)
+    left = big.join(table, [*keys], "left").withColumn(salt, F.pmod(F.xxhash64(*spread), number).cast("int")).drop(salts)
+    right = side.join(table, [*keys], "left").withColumn(salt, F.explode(F.sequence(F.lit(0), number - 1))).drop(salts)
     return left.join(right, [*keys, salt]).drop(salt)
 
 

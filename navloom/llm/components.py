@@ -16,14 +16,14 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     The links of a node with many neighbours are dealt over several tasks.
     """
     both = cut_lineage(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-    heavy = cut_lineage(heavy_keys(both, ["b"]))
+    heavy = heavy_keys(both, ["b"])
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     for _ in range(max_rounds):
         spread = salted_join(both, labels.withColumnRenamed("node", "b"), ["b"], ["a"], heavy).select(F.col("a").alias("node"), "label")
         least = spread.union(labels).groupBy("node").agg(F.min("label").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         # Many nodes come to share a label, so that join is salted too.
-        new = cut_lineage(salted_join(least, jump, ["label"], ["node"]).select("node", F.least("label", "further").alias("label")))
+        new = cut_lineage(salted_join(least, jump, ["label"], ["node"], heavy_keys(labels, ["label"])).select("node", F.least("label", "further").alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count()
         labels = new
         if not changed:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navloom.llm.bloom import MAX_BITS, bitmaps, filter_bits, with_maybe
-from navloom.llm.common import SPACE_RE, cut_lineage, fresh, salted_join, text_or_empty, written_once
+from navloom.llm.common import SPACE_RE, cut_lineage, fresh, heavy_keys, salted_join, text_or_empty, written_once
 
 
 def normalised(text: str | Column) -> Column:
@@ -46,7 +46,9 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"),
         F.count(F.lit(1)).alias("group_size"),
     )
-    together = salted_join(rest, first, ["digest"], ["row"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), sha)
+    first = cut_lineage(first)
+    heavy = heavy_keys(first, ["digest"], F.col("group_size"))
+    together = salted_join(rest, first, ["digest"], ["row"], heavy).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), sha)
     return alone.unionByName(together)
 
 

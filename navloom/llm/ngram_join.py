@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navloom.llm.bloom import marked
-from navloom.llm.common import cut_lineage, fresh, heavy_keys, salted_join, written_once
+from navloom.llm.common import cut_lineage, fresh, heavy_keys, salted_join, small_batches, written_once
 from navloom.llm.components import connected_components
 from navloom.llm.shingles import mix, shared_with, shingle_sets
 
@@ -133,7 +133,7 @@ def nearest_centres(sets: DataFrame) -> DataFrame:
     """
     spread = sets.select("row", F.posexplode("least").alias("which", "value"))
     sharing = cut_lineage(spread.groupBy("which", "value").agg(F.count(F.lit(1)).alias("sharing")).filter("sharing > 1"))
-    heavy = cut_lineage(heavy_keys(sharing, ["which", "value"], F.col("sharing")))
+    heavy = heavy_keys(sharing, ["which", "value"], F.col("sharing"))
     met = salted_join(spread, sharing, ["which", "value"], ["row"], heavy)
     central = cut_lineage(met.groupBy("row").agg(F.sum("sharing").alias("sharing"), F.collect_list(F.struct("which", "value")).alias("least")))
     spread = central.select("row", "sharing", F.explode("least").alias("at")).select("row", "sharing", "at.*")
@@ -153,7 +153,7 @@ def differences(pairs: DataFrame, rows: DataFrame, words: int, percent: int) ->
     keys = cut_lineage(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct())
     texts = marked(rows.select("row", "text"), "row", keys, "maybe").filter("maybe").drop("maybe")
     with_a = salted_join(pairs, texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), ["a"], ["b"])
-    with_b = salted_join(with_a, texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), ["b"], ["a"], cut_lineage(heavy_keys(pairs, ["b"])))
+    with_b = salted_join(with_a, texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), ["b"], ["a"], heavy_keys(pairs, ["b"]))
     with_b = with_b.select("a", "b", "need", "open", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +195,9 @@ _DIFFERENCE_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(),
 def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b, need, open) that the sets' sizes and profiles don't rule out. No text is read for it."""
     pairs = cut_lineage(pairs.select("a", "b", "need", "open"))
-    columns = pairs.columns
+    columns, heavy = pairs.columns, {k: heavy_keys(pairs, [k]) for k in "ab"}
     for k, other in ("ab", "ba"):
-        pairs = salted_join(pairs, sets.select(F.col("row").alias(k), F.col("n").alias(f"n_{k}"), F.col("profile").alias(f"profile_{k}")), [k], [other])
+        pairs = salted_join(pairs, sets.select(F.col("row").alias(k), F.col("n").alias(f"n_{k}"), F.col("profile").alias(f"profile_{k}")), [k], [other], heavy[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +221,8 @@ def links_inside(visits: DataFrame, percent: int) -> DataFrame:
     """
     loose = visits.groupBy("b").agg(F.sum(F.size("differing") + 1).alias("shingles"), F.count(F.lit(1)).alias("all"), F.count_if(~F.col("near")).alias("loose"))
     loose = loose.filter("loose > 0 and all > 1").select("b", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    work = salted_join(visits, loose, ["b"], ["a"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    heavy = heavy_keys(visits, ["b"])
+    work = salted_join(visits, loose, ["b"], ["a"], heavy).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     placed = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("a", "b", "n", "near", "lacks", "differing", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
 
@@ -269,14 +270,15 @@ def visitors(tokens: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     ``clusters`` has row, centre and members (how many sets the centre's cluster holds).
     """
     posted = cut_lineage(tokens.join(clusters, "row")).select("row", "n", "centre", "members", F.posexplode("tokens").alias("at", "token"))
-    several = cut_lineage(posted.groupBy("token").agg(F.min("centre").alias("low"), F.max("centre").alias("high")).filter("low < high").select("token"))
+    several = cut_lineage(posted.groupBy("token").agg(F.min("centre").alias("low"), F.max("centre").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low < high").select("token", "rows"))
+    heavy, several = heavy_keys(several, ["token"], F.col("rows")), several.select("token")
     maybe = marked(posted, "token", several, "maybe").filter("maybe").drop("maybe")
-    entries = cut_lineage(salted_join(maybe, several, ["token"], ["row"]))
+    entries = cut_lineage(salted_join(maybe, several, ["token"], ["row"], heavy))
     blocks = entries.groupBy("token", F.col("centre").alias("b"), F.col("members").alias("b_members")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("left"))
     keep = f"""(b_members > members or b_members = members and b > centre)
         and 100L * high >= {percent}L * n and 100L * n >= {percent}L * low
         and {100 + percent}L * least(left, n - at) >= {percent}L * (low + n)"""
-    return salted_join(entries, blocks, ["token"], ["row"]).filter(keep).select(F.col("row").alias("a"), "b").distinct()
+    return salted_join(entries, blocks, ["token"], ["row"], heavy).filter(keep).select(F.col("row").alias("a"), "b").distinct()
 
 
 def set_links(rows: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
@@ -285,10 +287,11 @@ def set_links(rows: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
     tried = nearest_centres(sets).select("a", "b", similar.alias("need"), F.lit(True).alias("open"))
     home = cut_lineage(differences(possible(tried, sets), rows, words, percent))
     reach = cut_lineage(home.groupBy(F.col("b").alias("centre")).agg(F.count(F.lit(1)).alias("members"), F.max("far").alias("reach")))
+    heavy = heavy_keys(reach, ["centre"], F.col("members"))
     placed = home.select(F.col("a").alias("row"), F.col("b").alias("centre"))
     # The others are centres themselves, most of them of none but themselves.
     free = sets.select("row").join(placed, "row", "left_anti").join(reach.withColumnRenamed("centre", "row"), "row", "left").select("row", F.col("row").alias("centre"), F.coalesce("members", F.lit(0)).alias("members"))
-    clusters = cut_lineage(free.union(salted_join(placed, reach, ["centre"], ["row"]).select("row", "centre", "members")))
+    clusters = cut_lineage(free.union(salted_join(placed, reach, ["centre"], ["row"], heavy).select("row", "centre", "members")))
     met = visitors(prefixes(rows, words, percent), clusters, percent)
     # A visitor must be near enough to the centre for one of its members to be linked.
     need = F.lit(percent / 100) - F.coalesce("reach", F.lit(0.0))
@@ -305,6 +308,7 @@ def row_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
 
 def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """``row_components`` of rows (row, doc_id, text) whose numbers are already fixed."""
+    small_batches(rows.sparkSession)
     found = cut_lineage(sketches(rows, words))
     prints = ["print1", "print2", "n"]
     # The row that stands for a set, and for a class, has its smallest id; ids that are null count as the largest.

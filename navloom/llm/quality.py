@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from navloom.llm.common import cut_lineage, fresh
+from navloom.llm.common import cut_lineage, fresh, small_batches
 from navloom.llm.shingles import parts, rolled, words_of
 from navloom.llm.trees import Condition, boost, paths, sigmoid
 
@@ -84,6 +84,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 stats = _some_statistics(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *(pa.array(stats[:, j]) for j in range(len(STATISTICS)))], ["doc_id", *STATISTICS])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATISTICS))
 

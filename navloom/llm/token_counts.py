@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from navloom.llm.common import small_batches
 from navloom.llm.vocab import Remembered, Vocabulary, chunks, load, spell
 
 ROWS_AT_ONCE = 256
@@ -130,5 +131,6 @@ def count_tokens(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_tokens"])
         counts.forget_all()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long")

@@ -24,7 +24,7 @@ WORD_END = "</w>"
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+")
 
 #: What a task's memory of words or chunks may hold, in bytes as estimated; it is emptied when full.
-REMEMBERED_BYTES = 48_000_000
+REMEMBERED_BYTES = 24_000_000
 #: Chunks longer than this are not remembered; they hardly come twice.
 REMEMBERED_LENGTH = 64
 #: What an entry of a dictionary takes beside the letters of its key and its value.
