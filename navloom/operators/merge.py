@@ -29,10 +29,10 @@ def current_revision(revisions: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def next_revisions(stored: DataFrame, new: DataFrame, keys: list[str], identity: list[str]) -> DataFrame:
-    """New rows that are not the same in ``identity`` as one that is stored, with the next revision number of their key."""
-    changed = new.join(stored.select(*keys, *identity), keys + identity, "left_anti")
-    newest = stored.groupBy(*keys).agg(F.max("revision").alias("newest"))
-    return changed.join(newest, keys, "left").withColumn("revision", F.coalesce("newest", F.lit(0)) + 1).drop("newest")
+    """New rows that differ in ``identity`` from their key's current revision, with the next number. Reading the same again adds nothing."""
+    current = stored.groupBy(*keys).agg(F.max("revision").alias("newest"), F.max_by(F.struct(*identity), "revision").alias("same"))
+    joined = new.join(current, keys, "left").filter(~F.struct(*identity).eqNullSafe(F.col("same")))
+    return joined.withColumn("revision", F.coalesce("newest", F.lit(0)) + 1).drop("newest", "same")
 
 
 def changed_only(stored: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -1,5 +1,5 @@
 """Named queries by subject."""
 
-from navloom.plans import funds, ledger, lookthrough, statement, text
+from navloom.plans import funds, ledger, lookthrough, reference, sheets, statement, text
 
-CATALOGUES = [m.C for m in (lookthrough, funds, ledger, text, statement)]
+CATALOGUES = [m.C for m in (lookthrough, funds, ledger, text, statement, reference, sheets)]

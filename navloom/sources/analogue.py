@@ -16,6 +16,16 @@ VIEWS = {
     "fund": """
         SELECT s_suppkey AS scheme_id, CAST(s_nationkey AS BIGINT) AS amc_id, s_name AS scheme_name, r_name AS category, s_acctbal AS ter
         FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
+    "scheme": """
+        SELECT scheme_id, amc_id, category, CONCAT('Fund ', CAST(CAST(FLOOR(scheme_id / 5) AS BIGINT) AS STRING)) AS scheme_name,
+               CASE WHEN scheme_id % 2 = 0 THEN 'direct' ELSE 'regular' END AS plan, CASE WHEN scheme_id % 5 < 2 THEN 'growth' ELSE 'idcw' END AS option,
+               CASE WHEN scheme_id % 3 = 0 THEN NULL ELSE CONCAT('INF', LPAD(CAST(scheme_id AS STRING), 9, '0')) END AS isin,
+               CASE WHEN scheme_id % 4 = 0 THEN NULL ELSE CONCAT('C', CAST(CAST(FLOOR(scheme_id / 3) AS BIGINT) AS STRING)) END AS code,
+               CONCAT('family ', CAST(amc_id * 10 + scheme_id % 4 AS STRING)) AS family, CONCAT('IX', CAST(scheme_id % 9 AS STRING)) AS key,
+               CASE WHEN scheme_id % 6 = 0 THEN NULL ELSE CONCAT('IDX:', CAST(scheme_id % 9 AS STRING)) END AS benchmark_id,
+               CASE WHEN scheme_id % 17 = 0 THEN scheme_id - 3 WHEN scheme_id % 5 <> 0 THEN scheme_id + 1 END AS merged_into,
+               DATE '2024-01-31' - CAST(scheme_id % 60 AS INT) AS last_seen
+        FROM {fund}""",
     "issuer": """
         SELECT p_partkey AS issuer_id,
                CASE WHEN p_type IN ('ECONOMY', 'STANDARD', 'MEDIUM', 'LARGE') THEN 'equity' WHEN p_type = 'SMALL' THEN 'debt' ELSE 'other' END AS instrument_class,
