@@ -1,7 +1,7 @@
 """Personal data by candidate generation and gradient boosting, in DataFrame functions only.
 
 Base spans come from four strict patterns with checks. Beside them, wider generators propose overlapping candidates: written-out
-addresses, national phone numbers, numbers next to other numbers, short cards, long internet addresses. Boosted trees over
+addresses, national phone numbers, numbers next to other numbers, short cards, long and shortened internet addresses. Boosted trees over
 format and context features, compiled to column expressions, score each candidate; a calibrated threshold per
 generator selects; where selected candidates overlap, the better score stays. Base spans always stay.
 
@@ -38,37 +38,95 @@ BASE_PATTERNS = {
     "card": _CHAIN + r"(?:[\x20-]?+[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_AT = r"(?:\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20)"
-_DOT = r"(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20|\.)"
+_AT = r"(?i:\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20)"
+_DOT = r"(?i:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20|\.)"
 #: Generator -> (kind, what a text must hold for it, pattern).
 GENERATORS = {
     "written_mail": ("email", rf"{_AT}[A-Za-z0-9-]++{_DOT}[A-Za-z0-9]", rf"(?:(?<!{_MAIL})|\G){_MAIL}++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++"),
     "long_ip": ("ip", r":[0-9A-Fa-f]{1,4}:", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
+    "short_ip": ("ip", r"[0-9A-Fa-f]::[0-9A-Fa-f]", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}(?![0-9A-Za-z:])"),
     "grouped_card": ("card", r"[0-9]{4}[\x20-]?[0-9]{4}", r"(?<![0-9])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}(?![0-9])"),
     "short_card": ("card", r"[0-9]{4}[\x20-]?[0-9]{4}", _CHAIN + r"(?:[\x20-]?+[0-9]){12,14}+(?![\x20-]?[0-9])"),
     "close_phone": ("phone", r"\+[0-9]", r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{4}(?![0-9])"),
     "national_phone": ("phone", r"[0-9]{3}[\x20.-][0-9]{4}", r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
 }
+GENERATORS["trunk_phone"] = ("phone", r"0[0-9]{1,4}\)?[\x20./-][0-9]{3}", r"(?<![0-9+.])\(?0[0-9]{1,4}\)?[\x20./-][0-9]{3,4}(?:[\x20.-]?[0-9]{2,4}){1,2}(?![0-9])")
 FEATURES = ("generator", "digits", "length", "luhn", "separators", "brackets", "plus", "leading", "different", "tail", "friendly", "hostile", "glued_before", "glued_after", "number_before", "number_after")
-# Words that speak for personal data near a candidate, and words that speak for other numbers.
-_FRIENDLY = r"(?:phone|tel|call|mobile|fax|whatsapp|mail|contact|write|reach|card|visa|amex|credit|pay|host|client|login|address|ip)\b"
-_HOSTILE = r"(?:order|invoice|isbn|issn|version|ver|ref|serial|part|sku|model|batch|tracking|article|ticket|page|patent|meet|arrive|look|sold|shares|score)\b"
+# Words that speak for personal data near a candidate, and words that speak for other numbers, in the four languages of the corpus.
+_FRIENDLY = (
+    r"(?:phone|tel|call|mobile|fax|whatsapp|mail|contact|write|reach|card|visa|amex|credit|pay|host|client|login|address|ip"
+    r"|telefon|anruf|rufnummer|handy|kontakt|karte|rechner|téléphone|appelez|portable|courriel|carte|adresse|teléfono|llame|móvil|correo|tarjeta|servidor)(?![\p{L}])"
+)
+_HOSTILE = (
+    r"(?:order|invoice|isbn|issn|version|ver|ref|serial|part|sku|model|batch|tracking|article|ticket|page|patent|meet|arrive|look|sold|shares|score"
+    r"|bestellung|rechnung|artikel|seite|charge|commande|facture|référence|lot|pedido|factura|artículo|página|lote)(?![\p{L}])"
+)
 _CONTEXT = 28
+#: Items of one block of a running state.
+BLOCK = 64
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is worked out once however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], show: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``show(state, item)`` of each item, an array of ``kind``; ``step(state, item)`` is the next item's state.
+
+    An array that grows inside an aggregation is copied at each step. So a first pass only keeps the state at the start
+    of each block of items, and blocks are then shown one by one, from their state on: the cost is in proportion to the items.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def places(all_items: Column, number: Column) -> Column:
+        return F.sequence(number * BLOCK, F.least((number + 1) * BLOCK, F.size(all_items)) - 1)
+
+    def block_end(all_items: Column, at: Column, number: Column) -> Column:
+        return F.aggregate(places(all_items, number), at, lambda s, i: step(s, F.get(all_items, i)))
+
+    def shown(all_items: Column, at: Column, number: Column) -> Column:
+        def add(state: Column, i: Column) -> Column:
+            own = F.array(show(state["at"], F.get(all_items, i))).cast(f"array<{kind}>")
+            return F.struct(step(state["at"], F.get(all_items, i)).alias("at"), F.concat(state["out"], own).alias("out"))
+
+        return F.aggregate(places(all_items, number), F.struct(at.alias("at"), empty.alias("out")), add, lambda s: s["out"])
+
+    def run(all_items: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / BLOCK).cast("int"))
+        first = F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("starts"))
+        starts = F.aggregate(numbers, first, lambda s, n: F.struct(block_end(all_items, s["at"], n).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+        blocks = bound(starts, lambda found: F.flatten(F.transform(numbers, lambda n: shown(all_items, F.get(found, n), n))))
+        return F.when(F.size(all_items) > 0, blocks).otherwise(empty)
+
+    return bound(items, run)
+
+
+_SPAN = "struct<start:int,end:int,text:string,before:string,after:string>"
 
 
 def spans_of(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """array<struct<start, end, text>> of all matches, left to right, offsets in code points."""
-    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    pieces = F.arrays_zip(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    """array<struct<start, end, text, before, after>> of all matches, left to right, offsets in code points.
+
+    ``before`` and ``after`` are the characters around a match, no further than to the match before and after it, those included.
+    """
+    no_text = F.array(F.lit(""))
 
-    def add(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.char_length(piece["0"])
-        end = start + F.char_length(piece["1"])
-        span = F.struct(start.alias("start"), end.alias("end"), piece["1"].alias("text"))
-        return F.when(piece["1"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out")))
+    def pieces(cut: Column) -> Column:
+        gaps, found = cut["gaps"], cut["found"]
+        rest = F.slice(gaps, F.lit(2), F.size(gaps))
+        zipped = F.arrays_zip(gaps.alias("gap"), found.alias("text"), F.concat(no_text, found).alias("last"), rest.alias("rest"), F.slice(found, F.lit(2), F.size(found) + 1).alias("next"))
+        return F.slice(zipped, F.lit(1), F.size(found))
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda state: state["out"])
-    return F.when(F.regexp_like(text, F.lit(needs or pattern)), found).otherwise(empty)
+    def show(at: Column, p: Column) -> Column:
+        start = at + F.char_length(p["gap"])
+        before = F.right(F.concat(p["last"], p["gap"]), F.lit(_CONTEXT))
+        after = F.left(F.concat(F.coalesce(p["rest"], F.lit("")), F.coalesce(p["next"], F.lit(""))), F.lit(_CONTEXT))
+        return F.struct(start.alias("start"), (start + F.char_length(p["text"])).alias("end"), p["text"].alias("text"), before.alias("before"), after.alias("after"))
+
+    cut = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    found = running(bound(cut, pieces), F.lit(0), lambda at, p: at + F.char_length(p["gap"]) + F.char_length(p["text"]), show, _SPAN)
+    return F.when(F.regexp_like(text, F.lit(needs or pattern)), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def digits_of(text: Column) -> Column:
@@ -113,14 +171,10 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<kind, start, end, text, generator, before, after>> that all generators propose."""
+    """array<struct<start, generator, end, kind, text, before, after>> that all generators propose."""
     def proposed(number: int, kind: str, needs: str, pattern: str) -> Column:
         def place(s: Column) -> Column:
-            since = F.greatest(s["start"] - _CONTEXT, F.lit(0))
-            before = F.substr(text, since + 1, s["start"] - since)
-            after = F.substr(text, s["end"] + 1, F.lit(_CONTEXT))
-            whence = (F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))
-            return F.struct(*whence, F.lit(number).alias("generator"), before.alias("before"), after.alias("after"))
+            return F.struct(s["start"].alias("start"), F.lit(number).alias("generator"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), *(s[n].alias(n) for n in ("text", "before", "after")))
 
         return F.transform(spans_of(text, pattern, needs), place)
 
@@ -144,8 +198,8 @@ def features(c: Column) -> list[Column]:
         F.coalesce(F.substr(digits, F.lit(1), F.lit(1)).try_cast("double"), F.lit(-1.0)),
         F.size(F.array_distinct(F.split(digits, "(?<=.)(?=.)"))).cast("double"),
         F.char_length(F.regexp_extract(t, r"([A-Za-z]*)$", 1)).cast("double"),
-        yes(F.regexp_like(near, F.lit(r"\b" + _FRIENDLY))),
-        yes(F.regexp_like(near, F.lit(r"\b" + _HOSTILE))),
+        yes(F.regexp_like(near, F.lit(r"(?<![\p{L}])" + _FRIENDLY))),
+        yes(F.regexp_like(near, F.lit(r"(?<![\p{L}])" + _HOSTILE))),
         yes(F.regexp_like(c["before"], F.lit(r"[A-Za-z0-9_/#$.-]$"))),
         yes(F.regexp_like(c["after"], F.lit(r"^(?:[A-Za-z_/%-]|[.,][0-9])"))),
         yes(F.regexp_like(c["before"], F.lit(r"[0-9][\x20.-]?$"))),
@@ -204,8 +258,63 @@ def fit_span_model(spark: SparkSession, precision: float = 0.995, trees: int = 2
     return SpanModel(base, tuple(forest), slope, offset, tuple(thresholds))
 
 
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+_CANDIDATE = {"start": "int", "generator": "int", "end": "int", "kind": "int", "text": "string", "before": "string", "after": "string", "free": "boolean"}
+
+
+def _apart_from(proposed: Column, base: Column) -> Column:
+    """The candidates that overlap no base span: one pass over all spans in order of start, and one back."""
+    kind = "struct<" + ",".join(f"{n}:{t}" for n, t in _CANDIDATE.items()) + ">"
+    no_text = [F.lit("").alias(n) for n in ("text", "before", "after")]
+    # Where starts are equal, base spans come first.
+    marks = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(-1).alias("generator"), b["end"].alias("end"), b["kind"].alias("kind"), *no_text))
+
+    def shown(x: Column, free: Column) -> Column:
+        return F.struct(*(x[n].alias(n) for n in _CANDIDATE if n != "free"), free.alias("free"))
+
+    there = running(
+        F.sort_array(F.concat(marks, proposed)), F.lit(0),
+        lambda covered, x: F.when(x["generator"] < 0, F.greatest(covered, x["end"])).otherwise(covered),
+        lambda covered, x: shown(x, (x["generator"] >= 0) & (x["start"] >= covered)), kind,
+    )
+    back = running(
+        F.reverse(there), F.lit(2**31 - 1),
+        lambda nearest, x: F.when(x["generator"] < 0, x["start"]).otherwise(nearest),
+        lambda nearest, x: shown(x, x["free"] & (x["end"] <= nearest)), kind,
+    )
+    return F.filter(back, lambda x: x["free"])
+
+
+def _best_apart(above: Column) -> Column:
+    """Of candidates that overlap, the better score stays, then the earlier, then the longer: array<struct<kind, start, end>>.
+
+    Candidates that overlap one another, directly or over others, are a run; only members of a run are compared.
+    """
+    member = "struct<run:int,less:double,start:int,minus_end:int,kind:int>"
+
+    def numbered(state: Column, x: Column) -> Column:
+        run = state["run"] + F.when(x["start"] >= state["reach"], 1).otherwise(0)
+        return F.struct(run.alias("run"), x["less"].alias("less"), x["start"].alias("start"), (-x["end"]).alias("minus_end"), x["kind"].alias("kind"))
+
+    def reached(state: Column, x: Column) -> Column:
+        run = state["run"] + F.when(x["start"] >= state["reach"], 1).otherwise(0)
+        return F.struct(run.alias("run"), F.greatest(state["reach"], x["end"]).alias("reach"))
+
+    runs = running(F.sort_array(above), F.struct(F.lit(0).alias("run"), F.lit(0).alias("reach")), reached, numbered, member)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def taken(state: Column, x: Column) -> Column:
+        return (state["run"] == x["run"]) & F.exists(state["kept"], lambda k: (k["start"] < -x["minus_end"]) & (x["start"] < k["end"]))
+
+    def step(state: Column, x: Column) -> Column:
+        own = F.array(F.struct(x["start"].alias("start"), (-x["minus_end"]).alias("end")))
+        kept = F.when(state["run"] != x["run"], own).when(taken(state, x), state["kept"]).otherwise(F.concat(state["kept"], own))
+        return F.struct(x["run"].alias("run"), kept.alias("kept"))
+
+    def show(state: Column, x: Column) -> Column:
+        return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), (-x["minus_end"]).alias("end"), (~taken(state, x)).alias("stays"))
+
+    shown = running(F.sort_array(runs), F.struct(F.lit(0).alias("run"), none.alias("kept")), step, show, "struct<kind:int,start:int,end:int,stays:boolean>")
+    return F.transform(F.filter(shown, lambda x: x["stays"]), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
 
 def selected(model: SpanModel, proposed: Column, base: Column) -> Column:
@@ -213,14 +322,19 @@ def selected(model: SpanModel, proposed: Column, base: Column) -> Column:
 
     def rated(c: Column) -> Column:
         # Negative, so that the array's order puts the best score first.
-        return F.struct((-model.probability(features(c))).alias("less"), c["start"].alias("start"), (-c["end"]).alias("end"), c["kind"].alias("kind"), c["generator"].alias("generator"))
+        less = bound(F.array(*features(c)), lambda v: -model.probability([v[i] for i in range(len(FEATURES))]))
+        return F.struct(c["start"].alias("start"), less.alias("less"), c["end"].alias("end"), c["kind"].alias("kind"), c["generator"].alias("generator"))
+
+    thresholds = [F.lit(-t) for t in model.thresholds]
+
+    def fine(r: Column) -> Column:
+        limit = F.lit(float("-inf"))
+        for g, t in enumerate(thresholds):
+            limit = F.when(r["generator"] == g, t).otherwise(limit)
+        return r["less"] <= limit
 
-    free = F.filter(proposed, lambda c: ~F.exists(base, lambda b: _overlaps(b, c)))
-    thresholds = F.array(*(F.lit(-t) for t in model.thresholds))
-    above = F.filter(F.transform(free, rated), lambda r: r["less"] <= F.element_at(thresholds, r["generator"] + 1))
-    spans = F.transform(F.array_sort(F.array_distinct(above)), lambda r: F.struct(r["kind"].alias("kind"), r["start"].alias("start"), (-r["end"]).alias("end")))
-    empty = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return F.aggregate(spans, empty, lambda kept, s: F.when(F.exists(kept, lambda k: _overlaps(k, s)), kept).otherwise(F.concat(kept, F.array(s))))
+    above = F.filter(F.transform(_apart_from(proposed, base), rated), fine)
+    return _best_apart(above)
 
 
 def find_spans(docs: DataFrame, model: SpanModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,20 +343,20 @@ def find_spans(docs: DataFrame, model: SpanModel | None = None, id_col: str = "d
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("proposed", candidates(F.col("text")))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    added = F.when(F.size("proposed") > 0, selected(model, F.col("proposed"), F.col("base"))).otherwise(none)
+    added = F.when(F.size("proposed") > 0, bound(F.struct("proposed", "base"), lambda s: selected(model, s["proposed"], s["base"]))).otherwise(none)
     return rows.select("doc_id", "text", "base", added.alias("added"))
 
 
 def joined(spans: Column) -> Column:
     """kind:start:end of sorted spans, comma-joined."""
     names = F.array(*(F.lit(k) for k in KINDS))
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
+    return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with each span, taken in order of start, replaced by its kind in square brackets; of overlapping spans the first counts."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(state: Column, s: Column) -> Column:
         shown = F.concat(state["out"], F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.element_at(names, s["kind"] + 1))

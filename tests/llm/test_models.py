@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -115,6 +116,69 @@ def test_method_adds_what_the_base_misses(spark, make_docs, no_docs):
     assert pii.find_spans(no_docs, model).count() == 0
 
 
+PROSE = {"en": "the river was green and the morning paper lay under a window".split(), "de": "der Fluß war grün und die Zeitung lag unter einem Fenster".split(), "fr": "la rivière était verte et le journal restait sous une fenêtre".split(), "es": "el río era verde y el periódico quedaba bajo una ventana".split()}
+CALLS = {"en": ("call", "order"), "de": ("Telefon", "Bestellung"), "fr": ("téléphone", "commande"), "es": ("teléfono", "pedido")}
+
+
+def planted(r, lang):
+    """(text, spans that are personal data) in one language; half hold a number that is none."""
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    yes, no = CALLS[lang]
+    lead, body, kind = r.choice([
+        (yes, f"{d(3)}-{d(3)}-{d(4)}", "phone"), (yes, f"0{r.randint(100, 999)} {d(3)} {d(4)}", "phone"), (yes, f"(0{r.randint(10, 99)}) {d(4)} {d(4)}", "phone"),
+        ("mail", f"ana.{r.choice(PROSE['en'])} [AT] example [DOT] org", "email"), ("host", f"2001:db8:{d(3)}::{d(2)}", "ip"), (no, f"{d(3)}-{d(3)}-{d(4)}", None), (no, f"0{r.randint(100, 999)} {d(3)} {d(4)}", None), ("", "add::bad", None),
+    ])
+    words = lambda n: " ".join(r.choice(PROSE[lang]) for _ in range(n))
+    head = f"{words(r.randint(2, 9))} {lead} ".replace("  ", " ")
+    return head + body + " " + words(r.randint(2, 9)), [(kind, len(head), len(head) + len(body))] if kind else []
+
+
+def test_precision_and_recall_on_planted_data_of_four_languages(spark, make_docs):
+    r = random.Random(31)
+    made = [(lang, *planted(r, lang)) for lang in PROSE for _ in range(150)]
+    hit, found, wanted = {}, {}, {}
+    for row in pii.find_spans(make_docs([t for _, t, _ in made])).collect():
+        lang, _, want = made[row.doc_id]
+        got = {(pii.KINDS[s.kind], s.start, s.end) for s in [*row.base, *row.added]}
+        for key in ([lang], *([k] for k in pii.KINDS)):
+            k = key[0]
+            mine = lambda spans: {s for s in spans if k == lang or s[0] == k}  # noqa: B023, E731
+            hit[k], found[k], wanted[k] = hit.get(k, 0) + len(mine(got) & mine(set(want))), found.get(k, 0) + len(mine(got)), wanted.get(k, 0) + len(mine(set(want)))
+    for k in (*PROSE, "phone", "email", "ip"):
+        assert hit[k] >= 0.9 * wanted[k] > 0, ("recall", k, hit, wanted)
+        assert hit[k] >= 0.95 * found[k], ("precision", k, hit, found)
+
+
+def test_added_spans_equal_plain_selection(spark, make_docs):
+    """Every candidate's own score, then: apart from base spans, above its threshold, best first."""
+    r, model = random.Random(8), pii.fit_span_model(spark)
+    bits = ["212-555-0147", "call 212-555-0147", "030 123 4567", "4539 5787 6362 1486", "1234 5678 9012 345", "+1 (269) 555-3296", "+49 30 1234 5678 9012", "a.b [at] c [dot] de", "fe80::1:2", "tel", "order", " ", "x", "7"]
+    texts = [" ".join(r.choice(bits) for _ in range(r.randint(0, 200))) for _ in range(40)] + [None]
+    docs = make_docs(texts).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    score = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["generator"].alias("generator"), pii.bound(F.array(*pii.features(c)), lambda v: model.probability([v[i] for i in range(len(pii.FEATURES))])).alias("p"))
+    rated = {x.doc_id: x.c for x in docs.select("doc_id", F.transform(pii.candidates(F.col("text")), score).alias("c")).collect()}
+    some = 0
+    for row in pii.find_spans(docs, model).collect():
+        kept = []
+        free = [c for c in rated[row.doc_id] if c.p >= model.thresholds[c.generator] and all(c.end <= b.start or b.end <= c.start for b in row.base)]
+        for c in sorted(free, key=lambda c: (-c.p, c.start, -c.end)):
+            if all(c.end <= k.start or k.end <= c.start for k in kept):
+                kept.append(c)
+        assert sorted((s.kind, s.start, s.end) for s in row.added) == sorted((c.kind, c.start, c.end) for c in kept)
+        some += len(kept)
+    assert some > 50
+
+
+def test_cost_grows_with_the_text(spark, make_docs):
+    """5 MB with some 50,000 spans in one text."""
+    line = "call 212-555-0147 or write a.b@c.de and so on " + "the river was green and wide " * 6 + "10.1.2.3\n"
+    n = 5_000_000 // len(line)
+    model, start = pii.fit_span_model(spark), time.monotonic()
+    row = pii.find_spans(make_docs([line * n]), model).select(F.size("base").alias("b"), F.size("added").alias("a")).first()
+    assert (row.b, row.a) == (2 * n, n) and 3 * n > 50_000
+    assert time.monotonic() - start < 60
+
+
 def test_near_duplicates_match_brute_force(spark):
     r = np.random.default_rng(3)
     base = r.normal(size=(60, 16))
