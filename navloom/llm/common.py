@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -39,10 +40,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables written by ``cut_lineage`` that nothing has dropped yet, in the order of writing.
+_written: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from the written copy."""
+    path = shared_path(df.sparkSession, "cut")
+    out = written_at(df, path)
+    _written.append(path)
+    return out
+
+
+def mark_tables() -> int:
+    """Where to drop tables from later."""
+    return len(_written)
+
+
+def drop_tables(spark: SparkSession, mark: int, keep: int = 0) -> None:
+    """Delete what ``cut_lineage`` wrote since ``mark``, but for the ``keep`` last ones; nothing may read the others any more.
+
+    The collection of garbage lets Spark's cleaner remove their shuffle files as well.
+    """
+    ends = len(_written) - keep
+    paths, _written[mark:ends] = _written[mark:ends], []
+    for path in paths:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -62,7 +88,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def written_once(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder. What depends on how the input was split, as row numbers do, is fixed by that one write."""
-    path = shared_path(df.sparkSession, name)
+    return written_at(df, shared_path(df.sparkSession, name))
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

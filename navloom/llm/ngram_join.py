@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from navloom.llm.bloom import marked
-from navloom.llm.common import cut_lineage, fresh, heavy_keys, salted_join, small_batches, written_once
+from navloom.llm.common import cut_lineage, drop_tables, fresh, heavy_keys, mark_tables, salted_join, small_batches, written_once
 from navloom.llm.components import connected_components
 from navloom.llm.shingles import mix, shared_with, shingle_sets
 
@@ -309,6 +309,7 @@ def row_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
 def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """``row_components`` of rows (row, doc_id, text) whose numbers are already fixed."""
     small_batches(rows.sparkSession)
+    mark = mark_tables()
     found = cut_lineage(sketches(rows, words))
     prints = ["print1", "print2", "n"]
     # The row that stands for a set, and for a class, has its smallest id; ids that are null count as the largest.
@@ -323,7 +324,9 @@ def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     some = salted_join(found.filter("n > 0").select("row", "doc_id", *prints), of_set, prints, ["row"])
     some = some.select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("first.row").alias("class_row"), F.col("first.doc_id").alias("component_id"))
     none = found.filter("n = 0").select("row", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("row").alias("class_row"), F.col("doc_id").alias("component_id"))
-    return some.unionByName(none)
+    out = cut_lineage(some.unionByName(none))
+    drop_tables(rows.sparkSession, mark, keep=1)
+    return out
 
 
 def near_duplicate_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,11 +24,11 @@ WORD_END = "</w>"
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+")
 
 #: What a task's memory of words or chunks may hold, in bytes as estimated; it is emptied when full.
-REMEMBERED_BYTES = 24_000_000
+REMEMBERED_BYTES = 48_000_000
 #: Chunks longer than this are not remembered; they hardly come twice.
 REMEMBERED_LENGTH = 64
 #: What an entry of a dictionary takes beside the letters of its key and its value.
-ENTRY_BYTES = 200
+ENTRY_BYTES = 150
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,7 +61,7 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.written |= {i: t for t, i in self.special.items()}
         self._special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self._first = {t[0] for t in self.special}
+        self._first = re.compile("[" + re.escape("".join(sorted({t[0] for t in self.special}))) + "]") if self.special else None
         self._normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         self._cut = pre_tokenizers.Split(Regex(WORD_PATTERN), "removed", invert=True)
 
@@ -75,7 +75,7 @@ class Vocabulary:
 
         No word, special token or composed letter spans a blank, so a text's words are those of its chunks.
         """
-        if self._special is None or not any(c in text for c in self._first):
+        if self._special is None or not self._first.search(text):
             return self._plain_words(text)
         out: list[str | int] = []
         for i, part in enumerate(self._special.split(text)):
@@ -99,7 +99,7 @@ class Remembered(dict):
         elif len(key) > REMEMBERED_LENGTH:
             return
         else:
-            size = ENTRY_BYTES + 4 * len(key) + (len(answer) if isinstance(answer, bytes) else 0)
+            size = ENTRY_BYTES + (1 if key.isascii() else 4) * len(key) + (len(answer) if isinstance(answer, bytes) else 0)
         if self.used + size > self.limit:
             self.forget()
         self.used += size
