@@ -113,7 +113,8 @@ def growth_of(navs: DataFrame, amount: float = 10_000.0) -> DataFrame:
 
 
 def latest_change(navs: DataFrame) -> DataFrame:
-    """Per series: its last price and the change from the one before; interpolated prices don't count."""
+    """Per series: its last price and the change from the one before. Prices marked ``is_interpolated`` don't count."""
+    navs = navs.filter(~F.col("is_interpolated")).drop("is_interpolated") if "is_interpolated" in navs.columns else navs
     rank = F.row_number().over(Window.partitionBy("scheme_id").orderBy(F.desc("nav_date")))
     before = F.lag("nav").over(_series())
     return navs.withColumn("before", before).withColumn("rank", rank).filter("rank = 1").select("scheme_id", "nav_date", "nav", F.round(F.col("nav") - F.col("before"), 6).alias("change"), F.round((F.col("nav") / F.col("before") - 1) * 100.0, 6).alias("change_pct"))

@@ -193,6 +193,11 @@ def _checks(spark: SparkSession, d: str) -> DataFrame:
     return validate.validate(rows, witnesses, F.lit("2000-01-01").cast("date"))
 
 
+@C.query(prelude("disclosure") + " SELECT DISTINCT scheme_id, as_of, unnest(['V4', 'V5', 'V6', 'V9', 'V12', 'V13', 'V14']) AS \"check\", NULL::BOOLEAN AS passed, FALSE AS blocking FROM (SELECT DISTINCT scheme_id, as_of FROM disclosure)")
+def checks_not_run(spark: SparkSession, d: str) -> DataFrame:
+    return validate.not_evaluated(view(spark, d, "disclosure").select("scheme_id", "as_of").distinct())
+
+
 @C.query(_VALID + 'SELECT scheme_id, as_of, x.c AS "check", x.p AS passed, x.b AS blocking FROM k')
 def validation_checks(spark: SparkSession, d: str) -> DataFrame:
     # A witness of one moment blocks; so does an impossible ratio.
