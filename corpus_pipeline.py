@@ -5,6 +5,12 @@
 3. n-gram Jaccard join: one document of each group stays, over five-word shingles at 80 % Jaccard;
 4. mixing: sources come near their target weights, whole documents repeated or left out, in training order;
 5. BPE: each text as token ids, with the digest of what they decode to.
+
+Defined cases
+    * without labels every document is kept by the first stage, whose score is then 0.5;
+    * null texts count as empty: one of them stays, is similar to nothing, and is mixed in no times, having no words;
+    * null ids are ids like any other, the largest where one has to stay; repeated rows are exact copies;
+    * an empty table gives an empty result at every stage; further columns, whatever their names, pass through to the last stage.
 """
 
 from __future__ import annotations
