@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Sequence
 
@@ -40,21 +41,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-#: Tables written by ``cut_lineage`` that nothing has dropped yet, in the order of writing.
-_written: list[str] = []
+class _Written(threading.local):
+    """Tables written by ``cut_lineage`` that nothing has dropped yet, in the order of writing; each thread has its own list."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_written = _Written()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from the written copy."""
     path = shared_path(df.sparkSession, "cut")
     out = written_at(df, path)
-    _written.append(path)
+    _written.paths.append(path)
     return out
 
 
 def mark_tables() -> int:
     """Where to drop tables from later."""
-    return len(_written)
+    return len(_written.paths)
 
 
 def drop_tables(spark: SparkSession, mark: int, keep: int = 0) -> None:
@@ -62,8 +69,8 @@ def drop_tables(spark: SparkSession, mark: int, keep: int = 0) -> None:
 
     The collection of garbage lets Spark's cleaner remove their shuffle files as well.
     """
-    ends = len(_written) - keep
-    paths, _written[mark:ends] = _written[mark:ends], []
+    ends = len(_written.paths) - keep
+    paths, _written.paths[mark:ends] = _written.paths[mark:ends], []
     for path in paths:
         root = spark._jvm.org.apache.hadoop.fs.Path(path)
         root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
