@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import bpe, chat, embed_dedup, exact_dedup, mixing, ngram_join, pii, quality, sharding, token_counts
+from navloom.llm import alignment, bpe, chat, embed_dedup, exact_dedup, mixing, ngram_join, pii, quality, sharding, token_counts, winnow
 from navloom.llm.common import table
 
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -66,8 +67,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op12_winnow_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_sums(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op3_quality_rules, op4_embedding_near_dedup, op5_chat_format, op6_bpe_round_trip, op7_virtual_slot_shards, op8_personal_data, op9_exact_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op3_quality_rules, op4_embedding_near_dedup, op5_chat_format, op6_bpe_round_trip, op7_virtual_slot_shards, op8_personal_data, op9_exact_dedup, op10_token_counts, op12_winnow_benchmark, op13_align_tokenizers)}
 
 
 OP2_SQL = r"""
@@ -133,6 +143,29 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
 FROM h
 """
 
+OP12_SQL = r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS row,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+b AS (
+  SELECT item_id, least(len(words), 10) AS size, words FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark) WHERE len(words) > 0),
+i AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[b0 : b0 + size - 1], ' ') AS window_words
+  FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS b0 FROM b)),
+d AS (
+  SELECT row, b0, size, array_to_string(words[b0 : b0 + size - 1], ' ') AS window_words
+  FROM (SELECT row, words, size, unnest(range(1, len(words) - size + 2)) AS b0 FROM w, (SELECT DISTINCT size FROM i))),
+h AS (SELECT row, b0, d.size, item_id FROM d JOIN i USING (window_words)),
+n AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(b0, b0 + size)) AS p FROM h) GROUP BY row),
+l AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN n USING (row) LEFT JOIN l USING (row)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op12_winnow_benchmark": OP12_SQL}

@@ -40,18 +40,18 @@ def parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         at = to
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a slice of texts: word hashes and word sizes in order, where each text's words begin (one more for the end),
-    all bytes, and where each text's bytes begin."""
+def words_and_starts(texts: pa.Array, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice of texts, with words parted by the bytes marked in ``space``: word hashes, first bytes and sizes in order,
+    where each text's words begin (one more for the end), all bytes, and where each text's bytes begin."""
     # A fresh array: its offsets then begin at the data's.
     filled = pa.array([b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()], pa.large_binary())
     _, offsets, data = filled.buffers()
     bounds = np.frombuffer(offsets, np.int64)[: len(filled) + 1]
     letters = np.frombuffer(data, np.uint8)[: bounds[-1]] if bounds[-1] else np.zeros(0, np.uint8)
-    solid = ~_SPACE[letters]
+    solid = ~space[letters]
     where = np.flatnonzero(solid)
     if not len(where):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(filled) + 1, np.int64), letters, bounds
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(filled) + 1, np.int64), letters, bounds
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     begins = bounds[:-1][bounds[:-1] < bounds[-1]]
@@ -62,7 +62,13 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     place = np.arange(len(where)) - np.repeat(starts, sizes)
     hashes = mix(np.add.reduceat(_LETTER[letters[where]] * powers[place], starts) + sizes.astype(np.uint64))
     owner = np.searchsorted(bounds, where[starts], side="right") - 1
-    return hashes, sizes, np.searchsorted(owner, np.arange(len(filled) + 1)), letters, bounds
+    return hashes, where[starts], sizes, np.searchsorted(owner, np.arange(len(filled) + 1)), letters, bounds
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same without the first bytes, for words parted by white space."""
+    hashes, _, sizes, edges, letters, bounds = words_and_starts(texts, _SPACE)
+    return hashes, sizes, edges, letters, bounds
 
 
 def rolled(hashes: np.ndarray, words: int) -> np.ndarray:
