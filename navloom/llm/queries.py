@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navloom.llm import alignment, bpe, chat, embed_dedup, exact_dedup, mixing, ngram_join, pii, quality, sharding, token_counts, winnow
+from navloom.llm import alignment, bpe, chat, embed_dedup, exact_dedup, mixing, ngram_join, pii, prefix_trie, quality, sharding, token_counts, winnow
 from navloom.llm.common import table
 
 
@@ -67,6 +67,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_winnow_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -77,7 +81,7 @@ def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op3_quality_rules, op4_embedding_near_dedup, op5_chat_format, op6_bpe_round_trip, op7_virtual_slot_shards, op8_personal_data, op9_exact_dedup, op10_token_counts, op12_winnow_benchmark, op13_align_tokenizers)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op3_quality_rules, op4_embedding_near_dedup, op5_chat_format, op6_bpe_round_trip, op7_virtual_slot_shards, op8_personal_data, op9_exact_dedup, op10_token_counts, op11_conversation_trie, op12_winnow_benchmark, op13_align_tokenizers)}
 
 
 OP2_SQL = r"""
@@ -143,6 +147,40 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
 FROM h
 """
 
+#: The digest of a short list of bits is worked out step by step: DuckDB has no CRC-32.
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS source, t.place, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.place <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.place, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.place > c.h),
+s AS (SELECT conv_id, sha256(len(role)::VARCHAR || ' ' || role || text) AS token, strlen(text)::BIGINT AS bytes,
+             row_number() OVER (PARTITION BY conv_id ORDER BY source, place) AS depth FROM r),
+p AS (
+  SELECT conv_id, depth, bytes, string_agg(token, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM s
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+l AS (SELECT conv_id, max(depth) AS length FROM p GROUP BY conv_id),
+n AS (
+  SELECT key, depth, min(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+  FROM p JOIN l USING (conv_id) GROUP BY key, depth),
+k AS (SELECT n.*, up.key AS parent_key FROM n LEFT JOIN p AS up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1),
+f AS (SELECT parent_key AS key, count(*) AS n_children FROM k WHERE parent_key IS NOT NULL GROUP BY parent_key),
+u AS (
+  SELECT top.key, sum((k.n_convs - 1) * k.bytes) AS saved_tokens, count(*) FILTER (f.key IS NULL) AS n_leaves
+  FROM k JOIN p AS top ON top.conv_id = k.conv_id AND top.depth <= k.depth LEFT JOIN f ON f.key = k.key GROUP BY top.key)
+SELECT k.conv_id, k.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, k.n_convs::BIGINT AS n_convs, coalesce(f.n_children, 0)::BIGINT AS n_children,
+       u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM k JOIN u ON u.key = k.key LEFT JOIN f ON f.key = k.key LEFT JOIN n AS up ON up.key = k.parent_key
+"""
+
 OP12_SQL = r"""
 WITH w AS (
   SELECT doc_id, row_number() OVER () AS row,
@@ -168,4 +206,4 @@ FROM w LEFT JOIN n USING (row) LEFT JOIN l USING (row)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op12_winnow_benchmark": OP12_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op11_conversation_trie": OP11_SQL, "op12_winnow_benchmark": OP12_SQL}
