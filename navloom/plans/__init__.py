@@ -1,5 +1,5 @@
 """Named queries by subject."""
 
-from navloom.plans import funds, ledger, lookthrough, reference, results, sheets, statement, text
+from navloom.plans import funds, ledger, lookthrough, lots, reference, results, sheets, statement, text
 
-CATALOGUES = [m.C for m in (lookthrough, funds, ledger, text, statement, reference, sheets, results)]
+CATALOGUES = [m.C for m in (lookthrough, funds, ledger, lots, text, statement, reference, sheets, results)]

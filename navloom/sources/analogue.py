@@ -61,6 +61,23 @@ VIEWS = {
                CASE event_type WHEN 'purchase' THEN 'PURCHASE' WHEN 'signup' THEN 'SIP' WHEN 'click' THEN 'REDEMPTION' WHEN 'view' THEN 'IDCW_PAYOUT' ELSE 'REVERSAL' END AS txn_type,
                CAST(ROUND(CAST(value AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) AS amount, CAST(ROUND(CAST(value AS DECIMAL(18,6)) / 10, 3) AS DECIMAL(18,3)) AS units
         FROM {events}""",
+    # Openings go back over years in steps of 600 days, on days of their own, so that no lot opens on the day of a closing.
+    "book_txn": """
+        SELECT user_id, folio, scheme_id, txn_ref, reverses_ref, txn_type, units, amount,
+               CASE WHEN txn_type IN ('REDEMPTION', 'SWITCH_OUT', 'STP_OUT', 'SWP', 'MERGER_OUT') THEN txn_date + CAST(day(txn_date) + 1 AS INT)
+                    ELSE txn_date + CAST(day(txn_date) AS INT) - CAST(txn_ref % 5 * 600 AS INT) END AS txn_date,
+               CAST(10 + txn_ref % 40 AS DECIMAL(18,6)) AS nav, CASE WHEN scheme_id = 0 THEN NULL ELSE CAST(20 + scheme_id AS DECIMAL(18,6)) END AS nav_2018,
+               CAST(CASE WHEN txn_type IN ('PURCHASE', 'SIP', 'SWITCH_IN', 'STP_IN', 'IDCW_REINVEST', 'MERGER_IN') THEN FLOOR(amount) / 2000 ELSE 0 END AS DECIMAL(18,4)) AS stamp_duty,
+               CAST(CASE WHEN txn_type IN ('REDEMPTION', 'SWITCH_OUT') AND txn_ref % 3 = 0 THEN FLOOR(amount) / 100 ELSE 0 END AS DECIMAL(18,4)) AS exit_load,
+               CAST(CASE WHEN txn_type IN ('REDEMPTION', 'SWITCH_OUT', 'STP_OUT', 'SWP', 'MERGER_OUT') THEN FLOOR(amount) / 1000 ELSE 0 END AS DECIMAL(18,4)) AS stt
+        FROM (
+          SELECT user_id, folio, scheme_id, txn_ref, txn_date, amount,
+                 CASE WHEN txn_type = 'REVERSAL' AND txn_ref % 5 = 0 THEN LAG(txn_ref) OVER (PARTITION BY user_id, folio, scheme_id ORDER BY txn_date, txn_ref) END AS reverses_ref,
+                 CASE WHEN txn_type = 'REDEMPTION' THEN CAST(FLOOR(units * 100) / 250 AS DECIMAL(18,3)) ELSE units END AS units,
+                 CASE WHEN txn_type = 'PURCHASE' AND txn_ref % 6 = 0 THEN 'SWITCH_IN' WHEN txn_type = 'PURCHASE' AND txn_ref % 6 = 1 THEN 'STP_IN' WHEN txn_type = 'PURCHASE' AND txn_ref % 6 = 2 THEN 'IDCW_REINVEST'
+                      WHEN txn_type = 'PURCHASE' AND txn_ref % 6 = 3 THEN 'MERGER_IN' WHEN txn_type = 'REDEMPTION' AND txn_ref % 6 = 0 THEN 'SWITCH_OUT' WHEN txn_type = 'REDEMPTION' AND txn_ref % 6 = 1 THEN 'STP_OUT'
+                      WHEN txn_type = 'REDEMPTION' AND txn_ref % 6 = 2 THEN 'SWP' WHEN txn_type = 'REDEMPTION' AND txn_ref % 6 = 3 THEN 'MERGER_OUT' ELSE txn_type END AS txn_type
+          FROM {txn}) AS typed""",
 }
 _NAME = re.compile(r"\{(\w+)\}")
 
