@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from navloom.functions.shown import borrower_name, is_informative, word_number
 from navloom.functions.text import is_composite, issuer_segment, state_code
 from navloom.operators.asof import latest_on_or_before
+from navloom.sources.store import shared_folder, written
 
 # How long after the newest file a scheme counts as live.
 LIVE_WINDOW_DAYS = 30
 
 
 def risk_free_on(asks: DataFrame, rates: DataFrame, on: str) -> DataFrame:
-    """``asks`` with the rate of the newest observation not after ``on``; null before the first one.
+    """``asks`` with the rate of the newest observation (observed, rate) not after ``on``; null before the first one.
 
-    ``rates`` (observed, rate) is a short published list. One row of it, all observations in order, meets every ask.
+    Rates are looked up for days, of which there are as many as the calendar has, and joined to the asks by day.
     """
-    listed = rates.agg(F.array_sort(F.collect_list(F.struct("observed", "rate"))).alias("__rates"))
-    before = F.filter("__rates", lambda r: r["observed"] <= F.col(on))
-    return asks.crossJoin(F.broadcast(listed)).withColumn("risk_free", F.when(F.size(before) > 0, F.element_at(before, -1)["rate"])).drop("__rates")
+    days = asks.select(F.col(on).alias("__day")).distinct().withColumn("__all", F.lit(0))
+    listed = rates.groupBy("observed").agg(F.max("rate").alias("risk_free")).withColumn("__all", F.lit(0))
+    known = latest_on_or_before(days, listed, ["__all"], "__day", "observed", ["risk_free"])
+    return asks.join(known.select(F.col("__day").alias(on), "risk_free"), on, "left").select(*asks.columns, "risk_free")
 
 
 def newest(rows: DataFrame, key: str, date: str, value: str) -> DataFrame:
@@ -63,23 +65,28 @@ def resolve_schemes(asks: DataFrame, schemes: DataFrame) -> DataFrame:
     return joined.select("ask_id", found.alias("scheme_id"), F.coalesce(how, F.lit("unresolved")).alias("found_by"))
 
 
-def merger_chains(schemes: DataFrame, max_steps: int = 50) -> DataFrame:
+def merger_chains(schemes: DataFrame) -> DataFrame:
     """(scheme_id, step, predecessor, successor) along ``merged_into``; a chain ends where it would come back to a scheme on it.
 
-    One join per step over the chains that still go on; few schemes merge, and fewer do so twice.
+    Ways are doubled: a scheme's first steps and those of the scheme where they end make twice as many, so a chain of any
+    length takes as many rounds as its length has binary digits. Each round starts from a written table.
     """
-    links = schemes.filter("merged_into is not null").select(F.col("scheme_id").alias("predecessor"), F.col("merged_into").alias("successor"))
-    front = links.filter("predecessor <> successor").select(F.col("predecessor").alias("scheme_id"), F.lit(1).alias("step"), "predecessor", "successor", F.array("predecessor", "successor").alias("path"))
-    out = front
-    for step in range(2, max_steps + 1):
-        ahead = links.select(F.col("predecessor").alias("at"), F.col("successor").alias("next"))
-        front = front.join(ahead, F.col("successor") == F.col("at")).filter(~F.array_contains("path", F.col("next"))).select(
-            "scheme_id", F.lit(step).alias("step"), F.col("successor").alias("predecessor"), F.col("next").alias("successor"), F.concat("path", F.array("next")).alias("path")
-        )
-        if front.isEmpty():
+    spark = schemes.sparkSession
+    links = schemes.filter("merged_into is not null and merged_into <> scheme_id").select("scheme_id", F.lit(1).alias("step"), F.col("merged_into").alias("at"))
+    ways, reach = written(links, shared_folder(spark, "ways")), 1
+    while True:
+        far = ways.filter(F.col("step") == reach)
+        ahead = ways.select(F.col("scheme_id").alias("at"), F.col("step").alias("more"), F.col("at").alias("next"))
+        longer = far.join(ahead, "at").select("scheme_id", (F.col("step") + F.col("more")).alias("step"), F.col("next").alias("at"))
+        # A scheme met again closes a circle: its first meeting counts, and nothing beyond the last new one.
+        met = ways.unionByName(longer).filter("at <> scheme_id").groupBy("scheme_id", "at").agg(F.min("step").alias("step"))
+        grown = written(met.select("scheme_id", "step", "at"), shared_folder(spark, "ways"))
+        if grown.filter(F.col("step") > reach).limit(1).count() == 0:
             break
-        out = out.union(front)
-    return out.drop("path")
+        ways, reach = grown, 2 * reach
+    before = grown.select("scheme_id", (F.col("step") + 1).alias("step"), F.col("at").alias("from"))
+    steps = grown.withColumnRenamed("at", "successor").join(before, ["scheme_id", "step"], "left")
+    return steps.select("scheme_id", "step", F.coalesce("from", "scheme_id").alias("predecessor"), "successor")
 
 
 def declared_per_scheme(stated: DataFrame, known: DataFrame) -> DataFrame:

@@ -70,11 +70,11 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 _MEMBERS = ", m AS (SELECT scheme_id, CONCAT(amc_id, '-', scheme_id % 4) AS family FROM fund)"
 
 
-@C.query(prelude("fund", "weight") + _MEMBERS + """, h AS (SELECT DISTINCT m.scheme_id, family FROM m JOIN weight USING (scheme_id)), g AS (SELECT family, MIN(scheme_id) AS giver FROM h GROUP BY family),
+@C.query(prelude("fund", "disclosed_weight") + _MEMBERS + """, h AS (SELECT DISTINCT m.scheme_id, family FROM m JOIN disclosed_weight USING (scheme_id)), g AS (SELECT family, MIN(scheme_id) AS giver FROM h GROUP BY family),
 s AS (SELECT m.scheme_id, CASE WHEN h.scheme_id IS NOT NULL THEN m.scheme_id ELSE giver END AS src FROM m JOIN g USING (family) LEFT JOIN h ON h.scheme_id = m.scheme_id)
-SELECT s.scheme_id, src AS from_scheme, COUNT(*) AS n_issuers, ROUND(SUM(weight), 6) AS weight FROM s JOIN weight w ON w.scheme_id = src GROUP BY 1, 2""")
+SELECT s.scheme_id, src AS from_scheme, COUNT(*) AS n_issuers, ROUND(SUM(weight), 6) AS weight FROM s JOIN disclosed_weight w ON w.scheme_id = src GROUP BY 1, 2""")
 def served_family_weights(spark: SparkSession, d: str) -> DataFrame:
-    served = weights.served_weights(_members(spark, d), view(spark, d, "weight").select("scheme_id", "issuer_id", "weight"))
+    served = weights.served_weights(_members(spark, d), view(spark, d, "disclosed_weight").select("scheme_id", "issuer_id", "weight"))
     return served.groupBy("scheme_id", "from_scheme").agg(F.count(F.lit(1)).alias("n_issuers"), F.round(F.sum("weight"), 6).alias("weight"))
 
 

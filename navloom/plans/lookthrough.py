@@ -18,7 +18,7 @@ c AS (
          CASE WHEN w.issuer_id IS NULL THEN 'unknown' ELSE w.instrument_class END AS instrument_class,
          w.issuer_id IS NULL OR w.is_synthetic AS is_synthetic,
          CASE WHEN w.issuer_id IS NULL THEN p.value_inr ELSE p.value_inr * w.weight / 1e2 END AS contribution_inr
-  FROM p LEFT JOIN weight w ON p.scheme_id = w.scheme_id),
+  FROM p LEFT JOIN disclosed_weight w ON p.scheme_id = w.scheme_id),
 e AS (
   SELECT user_id, issuer_id, instrument_class, is_synthetic, SUM(contribution_inr) AS exposure_inr, COUNT(DISTINCT scheme_id) AS n_schemes
   FROM c GROUP BY ALL)
@@ -26,7 +26,7 @@ e AS (
 
 
 def _contributed(spark: SparkSession, d: str) -> DataFrame:
-    return L.contributions(view(spark, d, "position"), view(spark, d, "weight"))
+    return L.contributions(view(spark, d, "position"), view(spark, d, "disclosed_weight"))
 
 
 def _exposed(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +34,7 @@ def _exposed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _base() -> str:
-    return prelude("position", "weight") + _CONTRIB
+    return prelude("position", "disclosed_weight") + _CONTRIB
 
 
 @C.query(_base() + "SELECT user_id, issuer_id, instrument_class, is_synthetic, ROUND(exposure_inr, 2) AS exposure_inr, n_schemes, ROUND(exposure_inr / SUM(exposure_inr) OVER (PARTITION BY user_id) * 1e2, 6) AS exposure_pct FROM e")

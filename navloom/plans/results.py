@@ -76,7 +76,7 @@ def replaced_sets(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.current_rows(rows, scopes), value_inr=2)
 
 
-_HELD = prelude("weight") + """, f AS (SELECT DISTINCT scheme_id FROM weight WHERE scheme_id % 7 = 0), r AS (SELECT scheme_id, issuer_id, weight FROM weight WHERE NOT is_synthetic),
+_HELD = prelude("weight") + """, f AS (SELECT DISTINCT scheme_id FROM weight), r AS (SELECT scheme_id, issuer_id, weight FROM weight WHERE NOT is_synthetic),
 o AS (SELECT a.scheme_id AS sa, b.scheme_id AS sb, SUM(LEAST(a.weight, b.weight)) AS v FROM r a JOIN r b ON a.issuer_id = b.issuer_id AND a.scheme_id < b.scheme_id GROUP BY 1, 2)"""
 
 
@@ -84,9 +84,7 @@ o AS (SELECT a.scheme_id AS sa, b.scheme_id AS sb, SUM(LEAST(a.weight, b.weight)
 SELECT x.p AS grid_row, y.p AS grid_column, ROUND(COALESCE(v, 0), 6) AS overlap_pct FROM g x JOIN g y ON y.p < x.p LEFT JOIN o ON sa = LEAST(x.scheme_id, y.scheme_id) AND sb = GREATEST(x.scheme_id, y.scheme_id)""")
 def heatmap_lower_triangle(spark: SparkSession, d: str) -> DataFrame:
     weight = view(spark, d, "weight")
-    held = weight.filter("scheme_id % 7 = 0").select("scheme_id").distinct()
-    pairs = L.overlap_pairs(weight.join(F.broadcast(held), "scheme_id", "left_semi"))
-    return rounded(R.lower_triangle(pairs, held, "overlap_pct"), overlap_pct=6)
+    return rounded(R.lower_triangle(L.overlap_pairs(weight), weight.select("scheme_id").distinct(), "overlap_pct"), overlap_pct=6)
 
 
 @C.query(_HELD + " SELECT sa AS scheme_a, sb AS scheme_b, ROUND(v, 6) AS overlap_pct FROM o WHERE sa = 4 AND sb = 22")
@@ -100,6 +98,6 @@ def json_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("scheme_id", R.json_rows(rows, "as_of", "tier", "aum").alias("row_json"))
 
 
-@C.query(prelude("weight") + " SELECT DISTINCT scheme_id, 100.0::DOUBLE AS total, TRUE AS sound FROM weight")
+@C.query(prelude("weight") + " SELECT scheme_id, ROUND(SUM(weight), 6) AS total, ABS(SUM(weight) - 100) <= 0.01 AS sound FROM weight GROUP BY 1")
 def served_weight_sums(spark: SparkSession, d: str) -> DataFrame:
     return W.sums_to_100(view(spark, d, "weight")).withColumn("total", F.round("total", 6))

@@ -211,15 +211,15 @@ def promote_status(spark: SparkSession, d: str) -> DataFrame:
 
 def _priced(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     prices = view(spark, d, "nav")
-    return prices.filter("scheme_id % 2 = 0").withColumn("load", F.lit(1)), prices.filter("scheme_id % 4 < 2").withColumn("nav", F.col("nav") + 1).withColumn("load", F.lit(2))
+    return prices.filter("scheme_id % 2 = 0").withColumn("load", F.lit(1)), prices.filter("scheme_id % 4 <> 2").withColumn("nav", F.col("nav") + 1).withColumn("load", F.lit(2))
 
 
-@C.query(prelude("nav") + " SELECT scheme_id, nav_date, CASE WHEN scheme_id % 4 < 2 THEN nav + 1 ELSE nav END AS nav, CASE WHEN scheme_id % 4 < 2 THEN 2 ELSE 1 END AS load FROM nav WHERE scheme_id % 2 = 0 OR scheme_id % 4 < 2")
+@C.query(prelude("nav") + " SELECT scheme_id, nav_date, CASE WHEN scheme_id % 4 <> 2 THEN nav + 1 ELSE nav END AS nav, CASE WHEN scheme_id % 4 <> 2 THEN 2 ELSE 1 END AS load FROM nav")
 def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return merge.last_wins(*_priced(spark, d), ["scheme_id", "nav_date"], "load")
 
 
-@C.query(prelude("nav") + " SELECT scheme_id, nav_date, CASE WHEN scheme_id % 2 = 0 THEN nav ELSE nav + 1 END AS nav, CASE WHEN scheme_id % 2 = 0 THEN 1 ELSE 2 END AS load FROM nav WHERE scheme_id % 2 = 0 OR scheme_id % 4 < 2")
+@C.query(prelude("nav") + " SELECT scheme_id, nav_date, CASE WHEN scheme_id % 2 = 0 THEN nav ELSE nav + 1 END AS nav, CASE WHEN scheme_id % 2 = 0 THEN 1 ELSE 2 END AS load FROM nav")
 def insert_where_absent(spark: SparkSession, d: str) -> DataFrame:
     return merge.where_absent(*_priced(spark, d), ["scheme_id", "nav_date"])
 

@@ -38,7 +38,10 @@ VIEWS = {
     "weight": """
         SELECT h.scheme_id, h.issuer_id, i.instrument_class, i.is_synthetic, i.sector,
                CAST(h.mv AS DOUBLE) * 1e2 / CAST(SUM(h.mv) OVER (PARTITION BY h.scheme_id) AS DOUBLE) AS weight
-        FROM {holding} h JOIN {issuer} i ON h.issuer_id = i.issuer_id WHERE h.scheme_id % 10 <> 9""",
+        FROM {holding} h JOIN {issuer} i ON h.issuer_id = i.issuer_id""",
+    # Every tenth fund discloses nothing: for what depends on whether a fund is disclosed.
+    "disclosed_weight": """
+        SELECT scheme_id, issuer_id, instrument_class, is_synthetic, sector, weight FROM {weight} WHERE scheme_id % 10 <> 9""",
     "position": """
         SELECT CAST(c_nationkey AS BIGINT) AS user_id, o_orderpriority AS folio, l_suppkey AS scheme_id,
                CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS value_inr
