@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from navloom.operators import lookthrough as L
 from navloom.operators import results as R
 from navloom.operators import weights as W
+from navloom.operators.store import Refreshed, Store, fingerprint
 from navloom.plans.base import Catalogue, rounded
 from navloom.plans.lookthrough import _base, _contributed
 from navloom.sources.analogue import prelude, view
+from navloom.sources.store import shared_folder, written
 
 C = Catalogue()
 
@@ -29,6 +32,16 @@ def _disclosed(spark: SparkSession, d: str) -> DataFrame:
     return known.groupBy("scheme_id").agg(F.max("as_of").alias("holdings_as_of"))
 
 
+def _restored(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` from a store whose first run had other figures for every second user, and whose second run replaced those users' sets."""
+    spark, odd = rows.sparkSession, F.col("user_id") % 2 == 1
+    scoped = written(rows.withColumns({"as_of": F.lit(ON).cast("date"), "weight_basis": F.lit("disclosed")}), shared_folder(spark, "results"))
+    store = Store(spark, shared_folder(spark, "store"), R.SCOPE, scoped.schema)
+    store.save(scoped.withColumn(value, F.when(odd, F.col(value) + 1).otherwise(F.col(value))), scoped.select(*R.SCOPE))
+    store.save(scoped.filter(odd), scoped.filter(odd).select(*R.SCOPE))
+    return store.current().select(*rows.columns)
+
+
 def _quality(spark: SparkSession, d: str) -> DataFrame:
     return R.portfolio_quality(_contributed(spark, d), _disclosed(spark, d), F.lit(ON).cast("date"))
 
@@ -38,17 +51,18 @@ SELECT user_id, issuer_id, instrument_class, is_synthetic, ROUND(exposure_inr, 2
   ROUND(q.coverage_pct, 6) AS coverage_pct, q.confidence FROM e JOIN g USING (user_id, issuer_id, instrument_class, is_synthetic) JOIN q USING (user_id)""")
 def stored_exposures(spark: SparkSession, d: str) -> DataFrame:
     contributed = _contributed(spark, d)
-    return rounded(R.exposure_rows(contributed, L.exposures(contributed), _disclosed(spark, d), F.lit(ON).cast("date")), exposure_inr=2, exposure_pct=6, coverage_pct=6)
+    rows = R.exposure_rows(contributed, L.exposures(contributed), _disclosed(spark, d), F.lit(ON).cast("date"))
+    return rounded(_restored(rows, "exposure_inr"), exposure_inr=2, exposure_pct=6, coverage_pct=6)
 
 
 @C.query(_AGED + "SELECT user_id, ROUND(total_inr, 2) AS total_inr, scheme_count, schemes_covered, issuer_count, ROUND(coverage_pct, 6) AS coverage_pct, ROUND(unresolved_pct, 6) AS unresolved_pct, worst_staleness_days, holdings_as_of, confidence FROM q")
 def stored_summaries(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_quality(spark, d), total_inr=2, coverage_pct=6, unresolved_pct=6)
+    return rounded(_restored(_quality(spark, d), "total_inr"), total_inr=2, coverage_pct=6, unresolved_pct=6)
 
 
 @C.query(_base() + "SELECT user_id, issuer_id, scheme_id, ROUND(contribution_inr, 2) AS contribution_inr, ROUND(contribution_inr / SUM(contribution_inr) OVER (PARTITION BY user_id, scheme_id) * 100, 6) AS weight_in_fund FROM c")
 def stored_contributions(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.contribution_rows(_contributed(spark, d)), contribution_inr=2, weight_in_fund=6)
+    return rounded(_restored(R.contribution_rows(_contributed(spark, d)), "contribution_inr"), contribution_inr=2, weight_in_fund=6)
 
 
 @C.query(_AGED + """, n AS (SELECT user_id, COUNT(*) AS k FROM e WHERE user_id % 9 <> 0 GROUP BY 1), s AS (SELECT q.*, COALESCE(k, 0) AS k, CASE WHEN k IS NULL THEN 'empty' WHEN confidence = 'low' OR confidence = 'medium' AND q.user_id % 5 = 0 THEN 'suppressed' ELSE 'ok' END AS state0 FROM q LEFT JOIN n USING (user_id)),
@@ -70,10 +84,60 @@ SELECT user_id, folio, scheme_id, as_of, weight_basis, ROUND(CASE WHEN user_id %
 def replaced_sets(spark: SparkSession, d: str) -> DataFrame:
     """A first run covers all users; the second every third, and those of every fourth have nothing any more."""
     p = view(spark, d, "position").select("user_id", "folio", "scheme_id", F.lit("2024-01-31").cast("date").alias("as_of"), F.lit("disclosed").alias("weight_basis"), "value_inr")
+    store = Store(spark, shared_folder(spark, "store"), R.SCOPE, p.schema)
+    store.save(p, p.select(*R.SCOPE))
     again = p.filter("user_id % 3 = 0 and user_id % 4 <> 1").withColumn("value_inr", F.col("value_inr") * 2)
-    rows = p.withColumn("run", F.lit(1)).union(again.withColumn("run", F.lit(2)))
-    scopes = p.select(*R.SCOPE, F.lit(1).alias("run")).distinct().union(p.filter("user_id % 3 = 0 or user_id % 4 = 1").select(*R.SCOPE, F.lit(2)).distinct())
-    return rounded(R.current_rows(rows, scopes), value_inr=2)
+    store.save(again, p.filter("user_id % 3 = 0 or user_id % 4 = 1").select(*R.SCOPE))
+    return rounded(store.current(), value_inr=2)
+
+
+#: What customers hold in funds, by class: a customer's set depends on the funds held and on what those hold.
+_CLASSES = """, h AS (SELECT o_custkey AS user_id, l_suppkey AS scheme_id, SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+k AS (SELECT scheme_id, instrument_class, SUM(weight) / 100 AS share FROM weight GROUP BY 1, 2)"""
+_HELD_SQL = "SELECT o_custkey AS user_id, l_suppkey AS scheme_id, SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS v FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey"
+
+
+def _refreshed(spark: SparkSession, d: str) -> tuple[Store, Refreshed]:
+    """A store of all customers, brought up to date after two funds changed, a customer in ten left and as many came."""
+    held = written(spark.sql(_HELD_SQL, lineitem=view(spark, d, "lineitem"), orders=view(spark, d, "orders")), shared_folder(spark, "held"))
+    shares = view(spark, d, "weight").groupBy("scheme_id", "instrument_class").agg((F.sum("weight") / 100).alias("share"))
+    shares = written(shares, shared_folder(spark, "shares"))
+    new_shares = shares.withColumn("share", F.when(F.col("scheme_id").isin(3, 7), F.col("share") * 2).otherwise(F.col("share")))
+    store = Store(spark, shared_folder(spark, "store"), ["user_id"], T.StructType.fromDDL("user_id bigint, instrument_class string, value_inr double"))
+
+    def bring(rows: DataFrame, by_class: DataFrame) -> Refreshed:
+        # A customer's inputs: what is held, and the digest of each fund held.
+        funds = fingerprint(by_class, ["scheme_id"]).select("scheme_id", "digest")
+        wanted = fingerprint(rows.join(funds, "scheme_id"), ["user_id"]).select("user_id", F.col("digest").alias("inputs"))
+
+        def compute(users: DataFrame) -> DataFrame:
+            mine = rows.join(users, "user_id", "left_semi").join(by_class, "scheme_id")
+            return mine.groupBy("user_id", "instrument_class").agg(F.sum(F.col("v").cast("double") * F.col("share")).alias("value_inr"))
+
+        return store.refresh(wanted, compute)
+
+    bring(held.filter("user_id % 10 <> 1"), shares)
+    return store, bring(held.filter("user_id % 10 <> 2"), new_shares)
+
+
+@C.query(prelude("weight") + _CLASSES + """ SELECT user_id, instrument_class, ROUND(SUM(CAST(v AS DOUBLE) * share * CASE WHEN scheme_id IN (3, 7) THEN 2 ELSE 1 END), 4) AS value_inr FROM h JOIN k USING (scheme_id) WHERE user_id % 10 <> 2 GROUP BY 1, 2""")
+def refreshed_classes(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_refreshed(spark, d)[0].current(), value_inr=4)
+
+
+@C.query(prelude("weight") + _CLASSES + """, u AS (SELECT user_id, bool_or(scheme_id IN (3, 7)) AS touched FROM h GROUP BY 1)
+SELECT CAST(COUNT(CASE WHEN user_id % 10 <> 2 AND (touched OR user_id % 10 = 1) THEN 1 END) AS BIGINT) AS changed, CAST(COUNT(CASE WHEN user_id % 10 = 2 THEN 1 END) AS BIGINT) AS gone,
+  CAST(COUNT(CASE WHEN user_id % 10 NOT IN (1, 2) AND NOT touched THEN 1 END) AS BIGINT) AS kept FROM u""")
+def refresh_counts(spark: SparkSession, d: str) -> DataFrame:
+    done = _refreshed(spark, d)[1]
+    return spark.createDataFrame([(done.changed, done.gone, done.kept)], "changed long, gone long, kept long")
+
+
+@C.query(prelude("book_txn") + """, r AS (SELECT user_id, sha256(concat(""" + ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(length(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR)) END" for c in sorted(("folio", "scheme_id", "txn_ref", "reverses_ref", "txn_type", "units", "amount", "txn_date", "nav", "nav_2018", "stamp_duty", "exit_load", "stt"))) + """)) AS h FROM book_txn),
+p AS (SELECT user_id, COUNT(*) AS n, """ + ", ".join(f"SUM(CAST(CAST('0x' || substr(h, {16 * i + 1}, 16) AS UBIGINT) AS HUGEINT)) AS s{i}" for i in range(4)) + """ FROM r GROUP BY 1)
+SELECT user_id, n AS rows, sha256(concat_ws('|', 'amount,exit_load,folio,nav,nav_2018,reverses_ref,scheme_id,stamp_duty,stt,txn_date,txn_ref,txn_type,units', n, s0, s1, s2, s3)) AS digest FROM p""")
+def ledger_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprint(view(spark, d, "book_txn"), ["user_id"])
 
 
 _HELD = prelude("weight") + """, f AS (SELECT DISTINCT scheme_id FROM weight), r AS (SELECT scheme_id, issuer_id, weight FROM weight WHERE NOT is_synthetic),
