@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from navloom.llm.common import WORD_RE, fresh, text_or_empty, written_once
+from navloom.llm.common import WORD_RE, text_or_empty
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -91,15 +91,15 @@ def _planned(rows: DataFrame, schedules: Sequence[Schedule], share: float, cap:
     Cumulative words per source come in two levels, so that no source is ever sorted in one task: totals of
     ``16 ** digits`` key ranges per source, then an order within each range.
     """
-    rows = rows.withColumn("range", F.substring("key", 1, digits))
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    # A key without nulls, so that the join and the window after it share one exchange.
+    rows = rows.withColumn("range", F.substring("key", 1, digits)).withColumn("named", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
+    ranges = rows.groupBy("named", "source", "range").agg(F.sum("size").alias("range_size"))
     ordered = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("range_before", F.coalesce(F.sum("range_size").over(ordered), F.lit(0)))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), schedules, share, cap)
     ranges = ranges.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    side = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), "range_before", "source_size", "rank", "target")
-    joined = rows.join(side, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(ranges.select("named", "range", "range_before", "source_size", "rank", "target"), ["named", "range"])
+    within = Window.partitionBy("named", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("range_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
     demand = F.floor(F.col("target") + 0.5)
     turns = F.when(F.col("source_size") > 0, F.floor(demand / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0)).cast("long")
@@ -126,12 +126,11 @@ def mix_plan(docs: DataFrame, schedules: Sequence[Schedule] = FALLING_5_2_1, sha
 
 def mixed_documents(docs: DataFrame, schedules: Sequence[Schedule] = FALLING_5_2_1, share: float = 1.5, cap: int = 2, digits: int = 3) -> DataFrame:
     """The rows of ``docs`` in training order, each as often as the mix takes it, with all their columns."""
-    row, place = fresh(docs, "row", "place")
-    # The rows are joined back by number, so both sides must read the same numbers.
-    marked = written_once(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    rows = marked.select("doc_id", "source", F.col(row).alias("row"), word_count("text").alias("size"), *_key("doc_id", "text"))
+    # Documents ride along to the window of their range: they are shuffled for it and for their order, and copied nowhere.
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    rows = docs.select("doc_id", "source", word_count("text").alias("size"), *_key("doc_id", "text"), whole)
     copies = F.explode(F.sequence(F.lit(0), (F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("long") - 1)).alias("turn")
     planned = _planned(rows, schedules, share, cap, digits, cut=False).filter("taken > 0").select("*", copies)
     part = (F.col("turn") * F.col("source_size") + F.col("before")) / F.greatest(F.col("demand"), F.lit(1))
-    places = planned.select(F.col("row").alias(row), position_of(F.least(part, F.lit(1.0)), F.col("segments")).alias(place))
-    return marked.join(places, row).repartitionByRange(place, "doc_id").sortWithinPartitions(place, "doc_id").select(*docs.columns)
+    placed = planned.select("doc_id", "whole", position_of(F.least(part, F.lit(1.0)), F.col("segments")).alias("place"))
+    return placed.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id").select("whole.*")
