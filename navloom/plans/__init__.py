@@ -1,5 +1,5 @@
 """Named queries by subject."""
 
-from navloom.plans import funds, imports, ledger, lookthrough, lots, reference, results, sheets, statement, text
+from navloom.plans import funds, imports, ledger, lookthrough, lots, reference, results, returns, sheets, statement, text
 
-CATALOGUES = [m.C for m in (lookthrough, funds, ledger, lots, imports, text, statement, reference, sheets, results)]
+CATALOGUES = [m.C for m in (lookthrough, funds, ledger, lots, returns, imports, text, statement, reference, sheets, results)]
