@@ -24,7 +24,7 @@ def index_levels(spark: SparkSession, d: str) -> DataFrame:
     row = F.struct(F.concat(F.lit(" Index "), "scheme_id").alias(S.NAME), F.upper(F.date_format("nav_date", "dd MMM yyyy")).alias(S.DAY), F.when(spoilt, "n/a").otherwise(price).alias(S.LEVEL), net.alias(S.NET))
     files = view(spark, d, "nav").withColumn("file_id", F.col("scheme_id") * 10_000 + F.year("nav_date")).groupBy("file_id").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("rows"))
     i = F.col("file_id") % 3
-    content = F.when(i == 0, F.col("rows")).when(i == 1, F.concat(F.lit('{"d": '), "rows", F.lit("}"))).otherwise(F.concat(F.lit("﻿"), F.to_json(F.struct(F.col("rows").alias("d")))))
+    content = F.when(i == 0, F.col("rows")).when(i == 1, F.concat(F.lit('{"d": '), "rows", F.lit("}"))).otherwise(F.concat(F.lit("\ufeff"), F.to_json(F.struct(F.col("rows").alias("d")))))
     levels = S.index_levels(files.select("file_id", content.alias("content")), strict=False)
     return levels.select("file_id", "index_name", "level_date", F.col("level").cast("double").alias("level"), F.col("net_level").cast("double").alias("net_level"))
 
@@ -32,8 +32,8 @@ def index_levels(spark: SparkSession, d: str) -> DataFrame:
 _HEAD = ("Sr. No.", "Company name", "ISIN", "BSE Symbol", "BSE 6 month Avg Total Market Cap", "NSE Symbol", "NSE 6 month Avg Total Market Cap", "MSEI Symbol", "MSEI 6 month Avg Total Market Cap", "Average", "Categorization as per circular")
 
 
-# One list per maker; every eleventh company has no quote, every 13th no valid code, every second a stated bucket.
-@C.query("""WITH p AS (SELECT p_mfgr AS file_id, p_partkey AS id, CAST(p_retailprice AS DOUBLE) AS r FROM part),
+# One list per type of part; every eleventh company has no quote, every 13th no valid code, every second a stated bucket.
+@C.query("""WITH p AS (SELECT p_type AS file_id, p_partkey AS id, CAST(p_retailprice AS DOUBLE) AS r FROM part),
 v AS (SELECT *, id % 13 <> 0 AS valid, CASE WHEN id % 11 = 0 OR id % 13 = 0 THEN NULL WHEN id % 3 = 0 THEN r ELSE r + 0.5 END AS cap FROM p),
 k AS (SELECT *, CASE WHEN cap IS NOT NULL THEN ROW_NUMBER() OVER (PARTITION BY file_id, cap IS NULL ORDER BY cap DESC, id) END AS rank FROM v),
 b AS (SELECT *, CASE WHEN rank <= 100 THEN 'large' WHEN rank <= 250 THEN 'mid' WHEN rank IS NOT NULL THEN 'small' END AS bucket, CASE WHEN valid AND id % 2 = 0 THEN 'large' END AS stated FROM k)
@@ -46,7 +46,7 @@ def market_values(spark: SparkSession, d: str) -> DataFrame:
     quote = lambda c: F.when(i % 11 == 0, "-").otherwise(F.format_number(c, 3))
     code = F.when(i % 13 == 0, "none").otherwise(F.concat(body, T.isin_check_digit(body).cast("string")))
     cells = F.array(i.cast("string"), F.concat(F.lit("Company "), i.cast("string")), code, none, quote(price), F.when(i % 3 != 0, F.concat(F.lit("N"), i.cast("string"))).otherwise(none), F.when(i % 3 != 0, quote(price + 1)).otherwise(none), none, none, F.lit("=AVERAGE(E2)"), F.when(i % 2 == 0, "Large Cap").otherwise(none))
-    parts = view(spark, d, "part").select(F.col("p_mfgr").alias("file_id"), (i + 10).alias("row_number"), cells.alias("cells"))
+    parts = view(spark, d, "part").select(F.col("p_type").alias("file_id"), (i + 10).alias("row_number"), cells.alias("cells"))
     top = F.explode(F.array(F.struct(F.lit(1).cast("long").alias("n"), F.array(F.lit("Average Market Capitalization")).alias("c")), F.struct(F.lit(2).cast("long").alias("n"), F.array(*(F.lit(h) for h in _HEAD)).alias("c")))).alias("t")
     heads = parts.select("file_id").distinct().select("file_id", top).select("file_id", F.col("t.n").alias("row_number"), F.col("t.c").alias("cells"))
     listed = parts.unionByName(heads).withColumn("file_name", F.lit("AverageMarketCapitalization30jun2026.xlsx"))

@@ -40,7 +40,7 @@ def staged_levels(files: DataFrame) -> DataFrame:
     The rows are a list, a list under ``d``, or such a list as text, with or without a byte-order mark. A file without a list has
     one row, numbered 0, that says so; a row that lacks a field or can't be read says which. A net level may be missing.
     """
-    text = F.trim(F.regexp_replace("content", "^﻿", ""))
+    text = F.trim(F.regexp_replace("content", "^\uFEFF", ""))
     wrapped = F.concat(F.lit('{"d":'), text, F.lit("}"))
     under = F.get_json_object(wrapped, "$.d.d")
     listed = F.when(F.startswith(text, F.lit("{")), under).otherwise(F.get_json_object(wrapped, "$.d"))
