@@ -57,6 +57,34 @@ def adjust_by_sibling(navs: DataFrame, siblings: DataFrame) -> DataFrame:
     return known.withColumn("nav_adj", F.round(first["nav"] * F.col("sibling_nav") / first["sibling_nav"], 6))
 
 
+def growth_siblings(schemes: DataFrame, navs: DataFrame) -> DataFrame:
+    """(scheme_id, sibling_id) of payout classes (scheme_id, family, plan, option): the priced growth class of their family, of their own plan if it has one, the smallest id of several. Schemes without a family have none.
+
+    The candidates are one row per family and plan, so that no pairs are made within a family.
+    """
+    priced = schemes.filter("option = 'growth' and family is not null").join(navs.filter("nav is not null").select("scheme_id").distinct(), "scheme_id", "left_semi").withColumn("plan", F.coalesce("plan", F.lit("")))
+    per_plan = priced.groupBy("family", "plan").agg(F.min("scheme_id").alias("same"))
+    per_family = per_plan.groupBy("family").agg(F.min("same").alias("other"))
+    asking = schemes.filter("option like 'idcw%' and family is not null").select("scheme_id", "family", F.coalesce("plan", F.lit("")).alias("plan"))
+    return asking.join(per_plan, ["family", "plan"], "left").join(per_family, "family").select("scheme_id", F.coalesce("same", "other").alias("sibling_id"))
+
+
+def adjusted_prices(navs: DataFrame, payouts: DataFrame, schemes: DataFrame) -> DataFrame:
+    """Every price (scheme_id, nav_date, nav) with ``nav_adj``, what it is worth with all payouts reinvested, and ``basis``, where that comes from.
+
+    Changes of unit go first, for siblings as well. A fund with payouts on record is chained by them; one without takes the growth of its
+    sibling from the first day that both have (before it: its own price); any other keeps its own. Null prices go. All funds are done at once,
+    each in windows of its own prices.
+    """
+    own = rescale_splits(navs.filter("nav is not null").select("scheme_id", "nav_date", "nav")).select("scheme_id", "nav_date", F.col("nav_rescaled").alias("nav"))
+    declared = payouts.select("scheme_id").distinct()
+    siblings = growth_siblings(schemes, navs).join(declared, "scheme_id", "left_anti")
+    chained = adjust_payouts(own.join(siblings.select("scheme_id"), "scheme_id", "left_anti"), payouts.select("scheme_id", "nav_date", "amount"))
+    chained = chained.join(declared.withColumn("declared", F.lit("payouts")), "scheme_id", "left").select("scheme_id", "nav_date", "nav", "nav_adj", F.coalesce("declared", F.lit("own")).alias("basis"))
+    followed = adjust_by_sibling(own, siblings).select("scheme_id", "nav_date", "nav", F.coalesce("nav_adj", F.round("nav", 6)).alias("nav_adj"), F.when(F.col("nav_adj").isNull(), "own").otherwise("sibling").alias("basis"))
+    return chained.unionByName(followed)
+
+
 def daily_returns(navs: DataFrame) -> DataFrame:
     return navs.withColumn("ret", F.col("nav") / F.lag("nav").over(_series()) - 1).filter("ret is not null")
 

@@ -170,6 +170,26 @@ def nav_adj_sibling(spark: SparkSession, d: str) -> DataFrame:
     return nav.adjust_by_sibling(prices, even)
 
 
+@C.query(prelude("nav", "scheme") + """, b AS (SELECT scheme_id, nav_date, nav AS sound, nav * CASE WHEN scheme_id % 3 = 0 AND nav_date < DATE '1995-01-01' THEN 1e2 WHEN scheme_id % 3 = 0 AND nav_date < DATE '1997-01-01' THEN 1e1 ELSE 1e0 END AS nav FROM nav),
+r AS (SELECT *, nav / LAG(nav) OVER (PARTITION BY scheme_id ORDER BY nav_date) AS q FROM b),
+k AS (SELECT *, COALESCE(CASE WHEN ABS(q / 10 - 1) <= 0.1 THEN 1 WHEN ABS(q * 10 - 1) <= 0.1 THEN -1 WHEN ABS(q / 100 - 1) <= 0.1 THEN 2 WHEN ABS(q * 100 - 1) <= 0.1 THEN -2 ELSE 0 END, 0) AS p FROM r),
+z AS (SELECT scheme_id, nav_date, sound, ROUND(nav * POW(1e1, COALESCE(SUM(p) OVER (PARTITION BY scheme_id ORDER BY nav_date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)), 6) AS nav FROM k),
+g AS (SELECT * FROM scheme WHERE option = 'growth' AND scheme_id IN (SELECT scheme_id FROM nav)),
+s AS (SELECT s.scheme_id, (SELECT arg_min(g.scheme_id, CASE WHEN g.plan = s.plan THEN 0 ELSE 1000000000 END + g.scheme_id) FROM g WHERE g.family = s.family) AS sid FROM scheme s WHERE option LIKE 'idcw%' AND scheme_id % 7 <> 0),
+w AS (SELECT z.*, sid, CASE WHEN z.scheme_id % 7 = 0 AND month(nav_date) = 3 THEN ROUND(sound * 0.01::DOUBLE, 6) END AS amount, LAG(nav) OVER (PARTITION BY z.scheme_id ORDER BY nav_date) AS before FROM z LEFT JOIN s USING (scheme_id)),
+x AS (SELECT w.*, z2.nav AS sn FROM w ASOF LEFT JOIN (SELECT scheme_id AS id2, nav_date AS d2, nav FROM z) z2 ON w.sid = z2.id2 AND w.nav_date >= z2.d2),
+f AS (SELECT scheme_id, arg_min(nav, nav_date) AS fn, arg_min(sn, nav_date) AS fs FROM x WHERE sn IS NOT NULL GROUP BY 1),
+h AS (SELECT scheme_id FROM w GROUP BY 1 HAVING COUNT(amount) > 0)
+SELECT x.scheme_id, nav_date, x.nav, CASE WHEN x.sn IS NOT NULL THEN 'sibling' WHEN h.scheme_id IS NOT NULL THEN 'payouts' ELSE 'own' END AS basis,
+  ROUND(CASE WHEN x.sn IS NOT NULL THEN fn * sn / fs ELSE x.nav * EXP(SUM(CASE WHEN amount > 0 AND before > amount THEN LN(before / (before - amount)) ELSE 0 END) OVER (PARTITION BY x.scheme_id ORDER BY nav_date ROWS UNBOUNDED PRECEDING)) END, 6) AS nav_adj
+FROM x LEFT JOIN f USING (scheme_id) LEFT JOIN h USING (scheme_id)""")
+def adjusted_prices(spark: SparkSession, d: str) -> DataFrame:
+    """All funds with every path: changes of unit, payouts of every seventh, siblings of the other payout classes."""
+    sevenths = view(spark, d, "nav").filter((F.col("scheme_id") % 7 == 0) & (F.month("nav_date") == 3))
+    payouts = sevenths.select("scheme_id", "nav_date", F.round(F.col("nav") * 0.01, 6).alias("amount"))
+    return nav.adjusted_prices(_broken(spark, d), payouts, view(spark, d, "scheme"))
+
+
 @C.query(prelude("nav") + " SELECT scheme_id, nav_date, nav, ROUND(ret, 9) AS ret FROM (SELECT *, nav / LAG(nav) OVER (PARTITION BY scheme_id ORDER BY nav_date) - 1 AS ret FROM nav) WHERE ret IS NOT NULL")
 def daily_returns(spark: SparkSession, d: str) -> DataFrame:
     return rounded(nav.daily_returns(view(spark, d, "nav")), ret=9)

@@ -191,3 +191,26 @@ def test_stream_and_batch_agree(spark, tmp_path):
     query = activity.run_to_memory(activity.activity(activity.read_events(spark, str(tmp_path / "e"), batch.schema)), "seen")
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.sql("select * from seen").collect())) == sorted(map(tuple, activity.activity(batch).collect()))
+
+
+def test_adjusted_prices_of_every_kind_of_fund(spark):
+    from datetime import date
+
+    from navloom.operators import nav
+
+    day = lambda m: date(2024, m, 1)
+    series = {1: [10, 11, 12, 13], 2: [10, 9, 9.5, 9], 3: [None, 20, 20, 22], 4: [110, 11, 11, 11], 5: [8, 8, 8, 8], 6: [5, 6, 7, 8], 7: [3, 3, 3, 3]}
+    navs = spark.createDataFrame([(s, day(n + 1), None if v is None else float(v)) for s, vs in series.items() for n, v in enumerate(vs) if not (s == 1 and n == 0)], "scheme_id int, nav_date date, nav double")
+    schemes = [(1, "a", "direct", "growth"), (2, "a", "direct", "idcw"), (3, "b", "direct", "growth"), (4, "b", "regular", "idcw_payout"), (5, None, "direct", "idcw"), (6, "c", "direct", "idcw"), (7, "c", "direct", "growth"), (8, "c", "regular", "growth")]
+    payouts = spark.createDataFrame([(6, day(1), 1.0), (6, day(3), 2.0), (6, day(4), 9.0)], "scheme_id int, nav_date date, amount double")
+    got = {}
+    for r in nav.adjusted_prices(navs, payouts, spark.createDataFrame(schemes, "scheme_id int, family string, plan string, option string")).orderBy("nav_date").collect():
+        got.setdefault(r.scheme_id, []).append((r.nav_adj, r.basis))
+    assert got[1] == [(11.0, "own"), (12.0, "own"), (13.0, "own")]
+    # The sibling's first price is of the second day; before it the fund's own counts.
+    assert got[2] == [(10.0, "own"), (9.0, "sibling"), (round(9 * 12 / 11, 6), "sibling"), (round(9 * 13 / 11, 6), "sibling")]
+    # A tenfold change of unit is no loss; the family has growth in the other plan only.
+    assert got[4] == [(11.0, "own"), (11.0, "sibling"), (11.0, "sibling"), (12.1, "sibling")]
+    assert got[5] == [(8.0, "own")] * 4 and got[7] == [(3.0, "own")] * 4 and [v for v, _ in got[3]] == [20.0, 20.0, 22.0]
+    # No price before the first payout, and none that could pay the last.
+    assert got[6] == [(5.0, "payouts"), (6.0, "payouts"), (10.5, "payouts"), (12.0, "payouts")]
