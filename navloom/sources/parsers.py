@@ -92,7 +92,7 @@ def wide_to_long(wide: DataFrame, keys: list[str], columns: dict[str, str], name
 
 def embedded_json(pages: DataFrame, tag: str = "__NEXT_DATA__") -> DataFrame:
     """The JSON text of a script element with the given id, null where a page has none."""
-    found = F.regexp_extract("html", rf'(?s)<script id="{tag}"[^>]*>(.*?)</script>', 1)
+    found = F.regexp_extract("html", rf'(?s)<script[^>]*\bid="{tag}"[^>]*>(.*?)</script>', 1)
     return pages.withColumn("json", F.when(found != "", found))
 
 
