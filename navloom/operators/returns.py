@@ -39,16 +39,15 @@ def external_flows(rows: DataFrame, portfolio: bool = False) -> DataFrame:
 
 
 def money_weighted(flows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, xirr): the yearly rate at which the flows of a key are worth nothing, null where there is none. A group has one row per day."""
+    """(keys, xirr): the yearly rate at which the flows of a key are worth nothing, null where there is none. A key's flows are one array, with one entry per day."""
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        days = pd.to_datetime(group["txn_date"]).map(pd.Timestamp.toordinal).to_numpy()
-        rate = solve_rate(days, group["flow"].to_numpy(float))
-        return group.iloc[[0]][keys].assign(xirr=np.array([rate], dtype="float64" if rate is not None else object))
+    @F.pandas_udf("double")
+    def solve(days: pd.Series, flows: pd.Series) -> pd.Series:
+        return pd.Series([solve_rate(np.asarray(d), np.asarray(f, dtype=float)) for d, f in zip(days, flows, strict=True)], dtype="float64")
 
     daily = flows.groupBy(*keys, "txn_date").agg(F.sum(F.col("flow").cast("double")).alias("flow"))
-    kinds = ", ".join(f"{c} {daily.schema[c].dataType.simpleString()}" for c in keys)
-    return daily.groupBy(*keys).applyInPandas(solve, f"{kinds}, xirr double")
+    listed = daily.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.unix_date("txn_date").alias("day"), "flow"))).alias("all"))
+    return listed.select(*keys, solve(F.col("all.day"), F.col("all.flow")).alias("xirr"))
 
 
 def priced(asks: DataFrame, navs: DataFrame, day: str, name: str) -> DataFrame:
@@ -69,7 +68,7 @@ def position_returns(positions: DataFrame, rows: DataFrame, navs: DataFrame) ->
     valued = valued.withColumn("market_value", F.col("units").cast("double") * F.col("nav_end").cast("double"))
     last = valued.filter("market_value is not null").select(*BOOK, F.col("as_of").alias("txn_date"), F.col("market_value").alias("flow"))
     # Rows after the day of valuation are not part of what it values.
-    known = rows.join(valued.select(*BOOK, "as_of"), BOOK).filter(F.col("txn_date") <= F.col("as_of"))
+    known = rows.join(positions.select(*BOOK, "as_of"), BOOK).filter(F.col("txn_date") <= F.col("as_of"))
     flows = external_flows(known).withColumn("flow", F.col("flow").cast("double")).unionByName(last)
     solved = valued.join(money_weighted(flows, BOOK), BOOK, "left").withColumn("xirr", F.when(F.col("market_value").isNotNull(), F.col("xirr")))
     days = F.datediff("as_of", "first_purchase")

@@ -12,6 +12,7 @@ from navloom.operators.statement import OPENING_TYPES
 from navloom.plans.base import Catalogue, rounded
 from navloom.plans.lots import _ROWS
 from navloom.sources.analogue import view
+from navloom.sources.store import shared_folder, written
 
 C = Catalogue()
 
@@ -68,7 +69,8 @@ def position_returns(spark: SparkSession, d: str) -> DataFrame:
     rows = L.prepared(view(spark, d, "book_txn"))
     paid_out = F.when(_running() > 0, F.col("amount") / 100)
     amount = F.when(F.col("txn_type").isin(*L.CLOSING_TYPES), F.col("units") * 10).when(F.col("txn_type") == "IDCW_PAYOUT", paid_out).otherwise(F.col("amount"))
-    rows = rows.withColumn("amount", amount.cast("decimal(20,4)"))
+    # Written once: positions and flows start from the same rows.
+    rows = written(rows.withColumn("amount", amount.cast("decimal(20,4)")), shared_folder(spark, "position-rows"))
     opens, closes = F.col("txn_type").isin(*OPENING_TYPES), F.col("txn_type").isin(*L.CLOSING_TYPES)
     paid = F.when(opens & ~F.col("txn_type").isin(*R.REINVESTED), F.col("amount")).when(closes, F.col("exit_load") + F.col("stt") - F.col("amount")).otherwise(F.lit(0).cast("decimal(20,4)"))
     bought = rows.groupBy(*BOOK).agg(F.min(F.when(opens, F.col("txn_date"))).alias("first_purchase"), F.sum(paid).alias("invested_net")).filter("first_purchase is not null")
