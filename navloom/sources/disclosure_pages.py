@@ -36,24 +36,31 @@ def _section(r: Column) -> Column:
     return F.when(F.regexp_like(instrument, F.lit(DERIVATIVE)), "DERIVATIVES").when(F.regexp_like(instrument, F.lit(CASH)), SECTIONS["CASH"]).otherwise(F.coalesce(known, nature))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """``df`` with columns that are computed once a row: without this, filters and columns built on a parsed page each parse it again."""
+    names = df.columns
+    return df.select(F.explode(F.array(F.struct(*names))).alias("__row")).select(*(F.col("__row")[n].alias(n) for n in names))
+
+
 def page_files(pages: DataFrame) -> DataFrame:
     """Per page (file_id, html): scheme_name, as_of, rows, stated and summed value, warnings, and the problem for which it is refused (null: none).
 
     All holdings of a page must state one instant, which is read as a day in the zone of the disclosures; without an offset it is taken in the session's zone.
     """
-    found = embedded_json(pages.select("file_id", "html")).withColumn("fund", F.get_json_object("json", PAYLOAD))
-    listed = F.get_json_object("fund", "$.holdings")
+    found = _once(embedded_json(pages.select("file_id", "html")).withColumn("fund", F.get_json_object("json", PAYLOAD)).withColumn("json", F.col("json").isNotNull()).withColumn("listed", F.get_json_object("fund", "$.holdings")))
+    listed = F.col("listed")
     rows = F.when(F.startswith(F.trim(listed), F.lit("[")), F.from_json(listed, "array<map<string,string>>"))
-    read = found.select("file_id", "json", "fund", F.get_json_object("fund", "$.scheme_name").alias("scheme_name"), _exact(F.get_json_object("fund", "$.aum")).alias("stated"), rows.alias("rows"))
+    read = found.select("file_id", "json", F.col("fund").isNotNull().alias("fund"), F.get_json_object("fund", "$.scheme_name").alias("scheme_name"), _exact(F.get_json_object("fund", "$.aum")).alias("stated"), rows.alias("rows"))
+    read = _once(read)
     dates = F.array_sort(F.array_distinct(F.array_compact(F.transform("rows", lambda r: _said(r, "portfolio_date")))))
     natures = F.array_sort(F.array_distinct(F.filter(F.array_compact(F.transform("rows", lambda r: F.upper(_said(r, "nature_name")))), lambda n: ~n.isin(*SECTIONS))))
     summed = F.aggregate("rows", F.lit(0).cast(_EXACT), lambda s, r: (s + F.coalesce(_exact(_said(r, "market_value")), F.lit(0))).cast(_EXACT))
     nameless = F.array_position(F.transform("rows", lambda r: r.isNull() | _said(r, "company_name").isNull()), F.lit(True))
-    read = read.withColumn("dates", dates).withColumn("unknown", natures).withColumn("summed", summed).withColumn("bad", nameless)
+    read = _once(read.withColumn("dates", dates).withColumn("unknown", natures).withColumn("summed", summed).withColumn("bad", nameless))
     instant = F.try_to_timestamp(F.get("dates", F.lit(0)))
     day = F.convert_timezone(F.current_timezone(), F.lit(ZONE), instant.cast("timestamp_ntz")).cast("date")
     problem = (
-        F.when(F.col("json").isNull(), "no data in the page").when(F.col("fund").isNull(), "no fund in the data").when(F.coalesce(F.size("rows"), F.lit(0)) <= 0, "no holdings")
+        F.when(~F.col("json"), "no data in the page").when(~F.col("fund"), "no fund in the data").when(F.coalesce(F.size("rows"), F.lit(0)) <= 0, "no holdings")
         .when(F.col("bad") > 0, F.concat(F.lit("no name in holding "), F.col("bad").cast("string"))).when(F.size("dates") == 0, "no date on any holding")
         .when(F.size("dates") > 1, F.concat(F.lit("several dates: "), F.array_join("dates", ", "))).when(day.isNull(), F.concat(F.lit("unreadable date "), F.get("dates", F.lit(0))))
     )
@@ -67,10 +74,10 @@ def page_files(pages: DataFrame) -> DataFrame:
 
 
 def page_holdings(pages: DataFrame) -> DataFrame:
-    """Holdings of the pages that can be read, in crore as published: name, section, sector, rating, market_value, pct. They carry neither codes nor quantities."""
-    rows = page_files(pages).filter("problem is null").select("file_id", "scheme_name", "as_of", F.posexplode("rows").alias("at", "r"))
+    """Holdings of the pages that can be read, in crore as published: name, section, sector, rating, market_value, pct; n_rows is the page's number of them. They carry neither codes nor quantities."""
+    rows = page_files(pages).filter("problem is null").select("file_id", "scheme_name", "as_of", F.size("rows").cast("long").alias("n_rows"), F.posexplode("rows").alias("at", "r"))
     r = F.col("r")
     return rows.select(
         "file_id", "scheme_name", "as_of", (F.col("at") + 1).alias("row_number"), _said(r, "company_name").alias("name"), _section(r).alias("section"), _said(r, "sector_name").alias("sector"), _said(r, "rating").alias("rating"),
-        _exact(_said(r, "market_value")).alias("market_value"), _exact(_said(r, "corpus_per")).alias("pct"),
+        _exact(_said(r, "market_value")).alias("market_value"), _exact(_said(r, "corpus_per")).alias("pct"), "n_rows",
     )
