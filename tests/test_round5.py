@@ -110,3 +110,14 @@ def test_a_page_is_parsed_once(spark):
     optimised = rows._jdf.queryExecution().optimizedPlan().toString()
     assert optimised.count("from_json") + optimised.count("jsontostructs") <= 2 and "Join" not in optimised
     assert [(r.name, r.n_rows) for r in rows.orderBy("row_number").collect()] == [("A", 2), ("B", 2)]
+
+
+def test_the_first_of_several_rates_and_none_beyond_the_steps(spark):
+    from datetime import date, timedelta
+
+    from navloom.operators.returns import money_weighted
+
+    cases = {"two": [(0, -100.0), (365, 230.0), (730, -132.0)], "one": [(0, -100.0), (365, 110.0)], "steep": [(0, -10.0), (10, 20.0)], "none": [(0, 50.0), (400, -100.0), (900, 80.0)], "loss": [(0, -100.0), (365, 5.0)]}
+    flows = spark.createDataFrame([(k, date(2024, 1, 1) + timedelta(d), f) for k, rows in cases.items() for d, f in rows], "book string, txn_date date, flow double")
+    got = {r.book: r.xirr for r in money_weighted(flows, ["book"]).collect()}
+    assert got == {"two": pytest.approx(0.1), "one": pytest.approx(0.1), "steep": None, "none": None, "loss": pytest.approx(-0.95)}
