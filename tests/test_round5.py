@@ -32,7 +32,7 @@ def positions(spark):
 
 
 def test_ranges_are_counted_and_not_joined_again(positions, held):
-    assert "REPARTITION_BY_NUM" in plan(L.contributions(positions, held)) and L.contributions(positions, held).rdd.getNumPartitions() > 4
+    assert "REPARTITION_BY_NUM" in plan(L.contributions(positions, held)) and L.contributions(positions, held).rdd.getNumPartitions() == 4
 
 
 def test_marginal_opens_positions_by_whole_issuers(spark, positions, held):
