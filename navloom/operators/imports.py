@@ -65,12 +65,14 @@ def new_rows(typed: DataFrame, known_ids: DataFrame) -> DataFrame:
 
 def import_report(read: DataFrame, typed: DataFrame, known_ids: DataFrame) -> DataFrame:
     """Per statement: inserted, duplicate, unmatched, unparsed and status (``ok``, or ``partial`` when rows or lines are left over)."""
-    fresh = typed.filter("txn_type is not null").withColumn("first", F.row_number().over(Window.partitionBy("txn_id").orderBy("user_id", "line_no")) == 1)
-    told = fresh.join(known_ids.select("txn_id").distinct().withColumn("stored", F.lit(True)), "txn_id", "left").withColumn("new", F.col("first") & F.col("stored").isNull())
-    counts = told.groupBy("user_id").agg(F.count_if("new").alias("inserted"), F.count_if(~F.col("new")).alias("duplicate"))
-    unmatched = typed.filter("txn_type is null").groupBy("user_id").agg(F.count(F.lit(1)).alias("unmatched"))
+    # Rows of no type are counted beside the others, so that the rows are typed once.
+    named = F.col("txn_type").isNotNull()
+    rows = typed.select("user_id", "line_no", "txn_id", named.alias("named"))
+    first = F.row_number().over(Window.partitionBy("txn_id", "named").orderBy("user_id", "line_no")) == 1
+    told = rows.withColumn("first", first).join(known_ids.select("txn_id").distinct().withColumn("stored", F.lit(True)), "txn_id", "left").withColumn("new", F.col("first") & F.col("stored").isNull())
+    counts = told.groupBy("user_id").agg(F.count_if(F.col("named") & F.col("new")).alias("inserted"), F.count_if(F.col("named") & ~F.col("new")).alias("duplicate"), F.count_if(~F.col("named")).alias("unmatched"))
     files = read.groupBy(F.col("file").alias("user_id")).agg(F.count_if(F.col("role") == "unparsed").alias("unparsed"))
-    joined = files.join(counts, "user_id", "left").join(unmatched, "user_id", "left")
+    joined = files.join(counts, "user_id", "left")
     zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("inserted", "duplicate", "unmatched", "unparsed")}
     return joined.select("user_id", *(v.alias(k) for k, v in zero.items()), F.when((zero["unmatched"] > 0) | (zero["unparsed"] > 0), "partial").otherwise("ok").alias("status"))
 

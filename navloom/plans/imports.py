@@ -96,5 +96,6 @@ SELECT *, 'partial' AS status FROM k""")
 def statement_imports(spark: SparkSession, d: str) -> DataFrame:
     """Statements of a whole month after one of its first half: what the first brought is not brought again."""
     first = _typed(spark, S.read_statement(written(statement_lines(_printed(spark, d).filter("day(txn_date) <= 15")), shared_folder(spark, "statements"))))
-    half, read = I.new_rows(first, spark.createDataFrame([], "txn_id string")), _read(spark, d)
+    # Read lines are written, since both the rows and the lines left over are counted.
+    half, read = I.new_rows(first, spark.createDataFrame([], "txn_id string")), written(_read(spark, d), shared_folder(spark, "read"))
     return I.import_report(read, _typed(spark, read), half.select("txn_id"))
