@@ -22,6 +22,8 @@ OPENING, CLOSING = r"(?i)Opening\s+Unit\s+Balance[:\s]*([\d,.]+)", r"(?i)Closing
 SUMMARY = r"(?i)^(Portfolio\s+Summary|Summary\s+of|Total\s+Value|Grand\s+Total)"
 FURNITURE = r"(?i)^(Page\s+\d+\s+of\s+\d+|CONSOLIDATED\s+ACCOUNT\s+STATEMENT|Date\s+Transaction\s+|Registrar\s*[:\s]|[-=_*\s]+)$"
 DATED = r"^(\d{2}-[A-Za-z]{3}-\d{4})\s+(.*\S)$"
+DATE_LENGTH = 11
+MAY_CHARGE = r"(?i)\*|securities|cdsc|deducted"
 NUMBER = r"\(?-?[\d,]*\d(?:\.\d+)?\)?"
 
 
@@ -48,22 +50,25 @@ def read_statement(lines: DataFrame) -> DataFrame:
     the transaction that a charge belongs to).
     """
     text = F.trim("line")
-    rows = lines.withColumn("line", text).filter("line <> ''")
-    line = F.col("line")
-    summary, folio = F.regexp_like(line, F.lit(SUMMARY)), _got(line, FOLIO)
-    rows = rows.withColumn("zone", _along(F.when(summary, "summary").when(folio.isNotNull(), "folio")))
+    line, capitals = F.col("line"), F.upper("line")
+    # What a line says by itself is found once, patterns that scan it only where a plain word shows that they can hold.
+    holds = lambda word, found: F.when(F.contains(capitals, F.lit(word)), found)
+    rows = lines.withColumn("line", text).filter("line <> ''").withColumns({
+        "summary": F.regexp_like(line, F.lit(SUMMARY)), "folio": _got(line, FOLIO), "said_name": holds("ISIN", _got(line, SCHEME, 1)), "said_isin": holds("ISIN", _got(line, SCHEME, 2)),
+        "closing": holds("BALANCE", _got(line, CLOSING)), "opening": holds("BALANCE", _got(line, OPENING)), "charge": F.when(F.regexp_like(line, F.lit(MAY_CHARGE)), charge_field(line)), "rest": _got(line, DATED, 2),
+    })
+    summary, folio = F.col("summary"), F.col("folio")
     head = F.when(summary, None).when(folio.isNotNull(), F.struct(F.regexp_replace(folio, r"\s+", "").alias("folio"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("isin")))
-    rows = rows.withColumn("under", _along(head))
-    is_scheme = (F.col("zone").eqNullSafe("folio")) & _got(line, SCHEME, 2).isNotNull() & folio.isNull()
-    block = F.when(is_scheme, F.struct(F.col("under.folio").alias("folio"), F.trim(_got(line, SCHEME, 1)).alias("name"), F.upper(_got(line, SCHEME, 2)).alias("isin")))
-    rows = rows.withColumn("under", _along(F.when(head.isNotNull(), head).otherwise(block)))
+    rows = rows.withColumn("head", head).withColumns({"zone": _along(F.when(summary, "summary").when(folio.isNotNull(), "folio")), "under": _along(F.col("head"))})
+    is_scheme = (F.col("zone").eqNullSafe("folio")) & F.col("said_isin").isNotNull() & folio.isNull()
+    block = F.when(is_scheme, F.struct(F.col("under.folio").alias("folio"), F.trim("said_name").alias("name"), F.upper("said_isin").alias("isin")))
+    rows = rows.withColumn("under", _along(F.coalesce("head", block)))
     inside = (F.col("zone") == "folio") & F.col("under.isin").isNotNull() & ~is_scheme & folio.isNull()
 
-    closing, opening, charge = _got(line, CLOSING), _got(line, OPENING), charge_field(line)
-    rest = _got(line, DATED, 2)
+    closing, opening, charge, rest = (F.col(c) for c in ("closing", "opening", "charge", "rest"))
     body = F.coalesce(rest, F.when(charge.isNotNull(), line), F.lit(""))
-    tail = F.regexp_extract(body, rf"((?:(?:^|\s+){NUMBER})*)$", 1)
-    numbers = F.transform(F.regexp_extract_all(tail, F.lit(rf"({NUMBER})"), F.lit(1)), indian_number)
+    rows = rows.withColumn("body", body).withColumn("tail", F.when(F.col("body") != "", F.regexp_extract("body", rf"((?:(?:^|\s+){NUMBER})*)$", 1)).otherwise(""))
+    numbers = F.transform(F.filter(F.split("tail", r"\s+"), lambda t: t != ""), indian_number)
     role = (
         F.when(~inside, None).when(closing.isNotNull(), "closing").when(opening.isNotNull(), "opening").when(charge.isNotNull() & (F.size("numbers") == 1), "charge")
         .when(F.regexp_like(line, F.lit(FURNITURE)), None).when(rest.isNotNull() & charge.isNull(), "dated").otherwise("unparsed")
@@ -77,9 +82,9 @@ def read_statement(lines: DataFrame) -> DataFrame:
     solved_four = (size > 4) & (before + at(-3) == at(-1))
     solved_two = (size > 2) & (size != 4) & (before == at(-1))
     width = F.when(size.isin(2, 4), size).when(solved_four, 4).when(solved_two, 2)
-    day = printed_date(_got(line, DATED, 1))
+    day = F.when(rest.isNotNull(), printed_date(F.left(line, F.lit(DATE_LENGTH))))
     # Numbers that belong to the description stay with it.
-    tokens = F.split(F.regexp_replace(body, r"\s+", " "), " ")
+    tokens = F.split("body", r"\s+")
     said = F.array_join(F.slice(tokens, 1, F.greatest(F.size(tokens) - F.coalesce(F.col("width"), F.lit(0)), F.lit(0))), " ")
     rows = rows.withColumn("width", width).withColumn("description", said).withColumn("txn_date", day)
     reads = (F.col("role") == "dated") & F.col("width").isNotNull() & (F.col("description") != "") & F.col("txn_date").isNotNull()
@@ -98,8 +103,8 @@ def read_statement(lines: DataFrame) -> DataFrame:
 
 
 def transactions(read: DataFrame) -> DataFrame:
-    """Transactions with the charges printed below them, one column each."""
-    sums = [F.sum(F.when(F.col("charge") == c, F.col("amount")).otherwise(0)).cast("decimal(24,4)").alias(c) for c in CHARGES]
-    charges = read.filter("role = 'charge'").groupBy("file", F.col("owner").alias("line_no")).agg(*sums)
-    rows = read.filter("role = 'transaction'").drop("role", "charge", "owner", "line").join(charges, ["file", "line_no"], "left")
-    return rows.withColumns({c: F.coalesce(c, F.lit(0)).cast("decimal(24,4)") for c in CHARGES})
+    """Transactions with the charges printed below them, one column each. A charge meets its transaction where the file lies, so a file is read once."""
+    own = Window.partitionBy("file", "of")
+    rows = read.filter("role in ('transaction', 'charge')").withColumn("of", F.when(F.col("role") == "charge", F.col("owner")).otherwise(F.col("line_no")))
+    sums = {c: F.sum(F.when(F.col("charge") == c, F.col("amount")).otherwise(0)).over(own).cast("decimal(24,4)") for c in CHARGES}
+    return rows.withColumns(sums).filter("role = 'transaction'").drop("role", "charge", "owner", "line", "of")
