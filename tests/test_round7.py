@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pyarrow as pa
@@ -87,3 +88,34 @@ def test_a_fund_that_meets_many_takes_several_steps(monkeypatch, own):
         monkeypatch.setattr(L, "MET", most)
         out = [r for b in L._overlaps(iter([batch.slice(0, 10), batch.slice(10)])) for r in b.to_pylist()]
         assert len(out) == len(want) and {(min(r["fund"], r["other_fund"]), max(r["fund"], r["other_fund"])): r["overlap_pct"] for r in out} == want
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_the_newest_run_meets_no_scopes(spark, tmp_path):
+    from navloom.operators.store import Store
+
+    rows = spark.createDataFrame([(u, x) for u in range(6) for x in "ab"], "u long, x string")
+    store = Store(spark, str(tmp_path / "s"), ["u"], rows.schema)
+    assert store.current().count() == 0
+    store.save(rows.withColumn("x", F.lit("old")), rows.select("u"))
+    assert "Join" not in plan(store.current())
+    store.save(rows.filter("u % 2 = 0"), rows.filter("u % 2 = 0 or u = 5").select("u"))
+    assert plan(store.current()).count("Join") == 1
+    assert sorted(map(tuple, store.current().collect())) == sorted([(u, x) for u in (0, 2, 4) for x in "ab"] + [(u, "old") for u in (1, 3) for _ in "ab"])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables")
+def test_stored_pairs_are_written_once(spark):
+    import __spark_entry__ as entry
+    from navloom.sources.store import shared_folder
+
+    top = os.path.dirname(shared_folder(spark, "any")).removeprefix("file:")
+    before = set(os.listdir(top))
+    stored = entry.queries()["stored_overlaps"](spark, SF)
+    made = sorted(set(os.listdir(top)) - before)
+    assert [name.split("-")[0] for name in made] == ["lists", "store"]
+    want = entry.queries()["overlap_pairs"](spark, SF)
+    assert spark.read.parquet(f"{top}/{made[1]}/rows").count() == want.count() > 0
+    assert stored.exceptAll(want).count() == want.exceptAll(stored).count() == 0
