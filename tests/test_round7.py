@@ -152,3 +152,26 @@ def test_rounding_of_many_rows_is_that_of_few(spark):
     df = spark.createDataFrame([(x,) for x in [*values, None, float("nan"), float("inf"), 5e-7, -5e-7, 2.675, -0.0]], "x double")
     for n in (2, 6, 9):
         assert [repr(r.x) for r in rounded(df, x=n).collect()] == [repr(r.x) for r in rounded_many(df, x=n).collect()]
+
+
+def test_a_grid_is_made_where_its_funds_meet(spark):
+    rows = made_weights()
+    got = L.overlap_grid(spark.createDataFrame(rows, SCHEMA))
+    above = plan(got).split("MapInArrow")[0]
+    assert "Exchange" not in above and "Window" not in above
+    order = sorted({r[0] for r in rows if r[0] is not None}) + [None]
+    overlaps = {k: w[0] or 0.0 for k, w in brute_pairs(rows, {}).items()}
+    cells = {(r.grid_row, r.grid_column): r.overlap_pct for r in got.collect()}
+    assert got.count() == len(cells) == len(order) * (len(order) - 1) // 2
+    for (row, column), value in cells.items():
+        assert column < row and value == pytest.approx(overlaps.get((order[column - 1], order[row - 1]), 0.0)), (row, column)
+    alone = L.overlap_grid(spark.createDataFrame([(1, 1, "equity", True, 5.0), (2, None, "equity", False, 5.0)], SCHEMA))
+    assert [tuple(r) for r in alone.collect()] == [(2, 1, 0.0)]
+
+
+def test_the_largest_overlap_moves_one_row_of_a_fund(spark):
+    """Pairs are folded in the task that makes them."""
+    import __spark_entry__ as entry
+
+    above = plan(entry.queries()["max_pairwise_overlap"](spark, SF)).split("MapInArrow")[0]
+    assert above.count("Exchange") == 1 and above.index("HashAggregate") < above.index("Exchange") < above.rindex("HashAggregate")
