@@ -175,3 +175,21 @@ def test_the_largest_overlap_moves_one_row_of_a_fund(spark):
 
     above = plan(entry.queries()["max_pairwise_overlap"](spark, SF)).split("MapInArrow")[0]
     assert above.count("Exchange") == 1 and above.index("HashAggregate") < above.index("Exchange") < above.rindex("HashAggregate")
+
+
+def test_a_view_opens_contributions_once(spark):
+    """Covered funds are found from positions and weights, exposures are counted with the quality."""
+    import __spark_entry__ as entry
+    from navloom.operators import results as R
+
+    assert plan(entry.queries()["view_envelopes"](spark, SF)).count("rangepartitioning(issuer_id") == 1
+    positions = spark.createDataFrame([(1, 1, 10.0), (1, 1, 5.0), (1, 2, 20.0), (2, 3, 7.0), (2, None, 1.0), (3, 4, 2.0)], "user_id long, scheme_id long, value_inr double")
+    weights = spark.createDataFrame([(1, 7, "equity", False, 60.0), (1, 8, "debt", True, 40.0), (2, 7, "debt", False, 100.0), (4, None, "debt", False, 100.0)], SCHEMA)
+    dates = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-05")], "scheme_id long, day string").select("scheme_id", F.col("day").cast("date").alias("holdings_as_of"))
+    contributed, on = L.contributions(positions, weights), F.lit("2024-01-11").cast("date")
+    held = R.covered_funds(positions, weights)
+    short, whole = R.portfolio_quality(contributed, dates, on, held, counted=True), R.portfolio_quality(contributed, dates, on)
+    assert plan(short).count("rangepartitioning(issuer_id") == 1
+    assert sorted(map(str, short.drop("row_count").collect())) == sorted(map(str, whole.collect()))
+    rows = {r.user_id: r["count"] for r in L.exposures(contributed).groupBy("user_id").count().collect()}
+    assert {r.user_id: r.row_count for r in short.collect()} == rows == {1: 3, 2: 1, 3: 1}
