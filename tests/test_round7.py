@@ -193,3 +193,19 @@ def test_a_view_opens_contributions_once(spark):
     assert sorted(map(str, short.drop("row_count").collect())) == sorted(map(str, whole.collect()))
     rows = {r.user_id: r["count"] for r in L.exposures(contributed).groupBy("user_id").count().collect()}
     assert {r.user_id: r.row_count for r in short.collect()} == rows == {1: 3, 2: 1, 3: 1}
+
+
+def test_positions_move_as_two_arrays_to_few_ranges(spark):
+    positions = spark.createDataFrame([(u, s, 10.0 * u + s) for u in range(70) for s in (1, 2)], "user_id long, scheme_id long, value_inr double")
+    weights = spark.createDataFrame([(s, i, "equity", False, 10.0) for s in (1, 2) for i in range(10)], SCHEMA)
+    moved = L._ranged(positions, weights)
+    assert [f.dataType.simpleString() for f in moved.schema if f.name in ("users", "values")] == ["array<bigint>", "array<double>"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        below = plan(L.marginal(positions, weights)).split("rangepartitioning(issuer_id")[1]
+        assert f", {L.RANGES})" in below.split("\n")[0] and L.RANGES < 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = L.marginal(positions, weights)
+    assert got.count() == 140 and got.agg(F.sum("new_issuers")).first()[0] == 0
