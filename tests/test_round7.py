@@ -209,3 +209,14 @@ def test_positions_move_as_two_arrays_to_few_ranges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     got = L.marginal(positions, weights)
     assert got.count() == 140 and got.agg(F.sum("new_issuers")).first()[0] == 0
+
+
+def test_stored_rows_take_little_room(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from navloom.operators.store import Store
+
+    rows = spark.range(1000).selectExpr("id % 2 AS u", "rand(1) AS x")
+    Store(spark, str(tmp_path / "s"), ["u"], rows.schema).save(rows, rows.select("u"))
+    files = list((tmp_path / "s" / "rows" / "run=1").glob("*.parquet"))
+    assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
